@@ -141,9 +141,28 @@ class Words:
         np.cumsum(self.ends - self.starts, out=offsets[1:])
         return pa.LargeStringArray.from_buffers(len(self), pa.py_buffer(offsets), pa.py_buffer(packed))
 
+    def joined(self, keep: np.ndarray | None = None) -> pa.Array:
+        """The (kept) words of each text, joined by one space."""
+        rows = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        length = self.ends - self.starts
+        if keep is None:
+            packed, n_texts = self.data[self.inside], len(self.first) - 1
+        else:
+            packed, n_texts = self.data[self.inside][np.repeat(keep, length)], len(self.first) - 1
+            rows, length = rows[keep], length[keep]
+        gap = np.zeros(len(rows), np.int64)
+        gap[:-1] = rows[1:] == rows[:-1]
+        ends = np.cumsum(length + gap)
+        out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
+        out[np.arange(len(packed)) + np.repeat(np.cumsum(gap) - gap, length)] = packed
+        offsets = np.zeros(n_texts + 1, np.int64)
+        filled = np.searchsorted(rows, np.arange(n_texts), side="right")
+        offsets[1:] = np.where(filled > 0, ends[np.maximum(filled, 1) - 1], 0) if len(ends) else 0
+        return pa.LargeStringArray.from_buffers(n_texts, pa.py_buffer(offsets), pa.py_buffer(out))
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial in its bytes, then mixed."""
-        return mix(segment_sums(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends))
+        return mix(segment_sums(self.data, self.starts, self.ends))
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -164,11 +183,24 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """sum(values[i] * base**(i - start)) over each segment [start, end), modulo 2**64."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(_BASE, len(values)), out=sums[1:])
-    return (sums[ends] - sums[starts]) * powers(_INVERSE, len(values) + 1)[starts]
+def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 19) -> np.ndarray:
+    """sum(values[i] * base**(i - start)) over each segment [start, end), modulo 2**64.
+
+    Segments are ascending by start and by end. Blocks of them are summed at a time, so that the
+    powers needed are few.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + block, side="right")))
+        last = int(ends[to - 1])
+        sums = np.zeros(last - base + 1, np.uint64)
+        np.cumsum(values[base:last].astype(np.uint64) * powers(_BASE, last - base), out=sums[1:])
+        begin = starts[at:to] - base
+        out[at:to] = (sums[ends[at:to] - base] - sums[begin]) * powers(_INVERSE, last - base + 1)[begin]
+        at = to
+    return out
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
