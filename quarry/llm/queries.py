@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, lines, packing, quality, substrings
+from quarry.llm import chat, covertree, lines, packing, quality, substrings
 from quarry.llm.common import table
 
 
@@ -78,15 +78,33 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = covertree.quantized(table(spark, sf_dir, "embeddings"), 64.0)
+    return covertree.top_k(vectors, 20, F.col("vec_id") % 20 == 0)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op3_line_dedup": op3_line_dedup,
         "op9_packing": op9_packing,
+        "op10_exact_topk": op10_exact_topk,
         "op4_chat_format": op4_chat_format,
         "op6_quality_rules": op6_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_chat_format": OP4_SQL, "op10_exact_topk": OP10_SQL}
