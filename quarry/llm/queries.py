@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, covertree, lines, packing, quality, substrings
+from quarry.llm import chat, covertree, lines, packing, pieces, quality, substrings
 from quarry.llm.common import table
 
 
@@ -54,6 +54,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = pieces.decode(pieces.encode(docs, model), model)
+    return out.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        (F.length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedupe_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -98,6 +114,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_line_dedup": op3_line_dedup,
         "op9_packing": op9_packing,
         "op10_exact_topk": op10_exact_topk,
