@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, covertree, lines, packing, pieces, quality, substrings
+from quarry.llm import chat, covertree, lines, neardup, packing, pieces, quality, substrings
 from quarry.llm.common import table
 
 
@@ -87,6 +87,11 @@ FROM m GROUP BY doc_id
 """
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,6 +121,7 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_line_dedup": op3_line_dedup,
+        "op8_minhash_neardup": op8_minhash_neardup,
         "op9_packing": op9_packing,
         "op10_exact_topk": op10_exact_topk,
         "op4_chat_format": op4_chat_format,
