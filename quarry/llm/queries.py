@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, covertree, lines, neardup, packing, pieces, quality, substrings
-from quarry.llm.common import table
+from quarry.llm import chat, covertree, lines, neardup, packing, pieces, quality, substrings, toxicity
+from quarry.llm.common import crc_remainder, table
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,19 @@ FROM m GROUP BY doc_id
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out=(4, 2))
+    out = toxicity.score(docs, model)
+    return out.select(
+        "doc_id",
+        (crc_remainder("doc_id", 4) == 2).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -121,6 +134,7 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_line_dedup": op3_line_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_minhash_neardup": op8_minhash_neardup,
         "op9_packing": op9_packing,
         "op10_exact_topk": op10_exact_topk,
