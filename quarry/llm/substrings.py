@@ -31,7 +31,7 @@ HOT = 4096
 LONGEST = 512
 #: Parts of a shuffle partition that are counted one after the other.
 PARTS = 4
-SLICE = 4 << 20
+SLICE = 6 << 20
 
 
 def seeds(words: Words) -> np.ndarray:
@@ -159,7 +159,7 @@ class Buckets:
         bucket = (mix(head, 2) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        codec = zstandard.ZstdCompressor(level=3)
+        codec = zstandard.ZstdCompressor(level=9)
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             own = order[a:b]
             parts = [np.int64(len(own)).tobytes(), head[own].tobytes(), docs[own, 0].tobytes(), docs[own, 1].tobytes(), size[own].tobytes(), *[strings[i] for i in own.tolist()]]
