@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, covertree, lines, neardup, packing, pieces, quality, substrings, toxicity
+from quarry.llm import chat, covertree, lines, neardup, packing, pieces, quality, scoring, substrings, toxicity
 from quarry.llm.common import crc_remainder, table
 
 
@@ -44,6 +44,14 @@ FROM e GROUP BY conv_id
 """
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scoring.score(docs, crc_remainder("doc_id", 5) != 1, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("doc_id", (crc_remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.weak_supervision(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
@@ -139,6 +147,7 @@ def queries() -> dict:
         "op9_packing": op9_packing,
         "op10_exact_topk": op10_exact_topk,
         "op4_chat_format": op4_chat_format,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_quality_rules": op6_quality_rules,
     }
 
