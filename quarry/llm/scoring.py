@@ -8,10 +8,9 @@ self-attention over the last ids adds; P(id | class, id before) comes from the s
 attention is trained in numpy: each task goes over one window, at a place chosen by doc_id, of every
 training document it reads, all from one start, and the tasks' weights are averaged. A text is
 scored in blocks of BLOCK ids, each attending to itself and the block before: windows of 2 * BLOCK
-that overlap by half, in which every id is scored once. A word's probability is m times its share
-of all training words plus 1 - m times that of its ids, so that known words are not lost between the
-ids that spell them and new words are spelled; 1 - m is the share of words seen once, which says how
-often a new one comes.
+that overlap by half, in which every id is scored once. A word's probability is MEMORY times its
+share of all training words plus 1 - MEMORY times that of its ids, so that known words are not lost
+between the ids that spell them and new words are spelled.
 """
 
 from __future__ import annotations
@@ -37,6 +36,8 @@ CLASSES = SINGLES + SHARED
 WIDTH, BLOCK = 16, 32
 #: Ids with counts of their own after and before others; the rest share one place.
 ACTIVE = 3072
+#: Weight of a word's share of all training words beside that of its spelling.
+MEMORY = 0.5
 #: Words whose counts every worker holds; the others' are joined.
 HEAD = 1 << 18
 CACHE_WORDS = 400_000
@@ -370,9 +371,9 @@ def score(docs: DataFrame, is_training: Column, tokenizer: str, end: int = 50256
     docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("_training"))
     training = docs.where("_training").select("doc_id", "text")
     counts = scratch.write(word_counts(training), "counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, room = totals["n"], totals["n"] + 0.5 * (totals["v"] + 1)
-    memory = 1 - min(max(totals["once"] / max(n_train, 1), 0.01), 0.9) if n_train else 0.0
+    memory = MEMORY if n_train else 0.0
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     ids = Ids.of(tokenizer, end, id_counts(counts, tokenizer, end, vocabulary))
     weights, pairs = learn(training, ids)
