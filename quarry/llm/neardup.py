@@ -2,17 +2,18 @@
 
 A document's set is its distinct word shingles, hashed. Documents with one set are one class, and
 only its smallest doc_id goes on. A sketch is the K smallest hashes of a set. Inverted lists are
-kept for the retained values, each together with the next one in the sketch, since a single common
-shingle says little. Two sets of Jaccard similarity 0.8 share no such pair with probability
-1.95 ** -K, about 2e-12: in the order of hashes each element of their union is in both with
-probability 0.8, and what is looked for is any two in a row. Sets of fewer than K elements always
-share one.
+kept for the retained values, each together with the next two in the sketch, since a single common
+shingle says little. Two sets of Jaccard similarity 0.8 share no such triple with probability
+1.43 ** -K, about 1e-10: in the order of hashes each element of their union is in both with
+probability 0.8, and what is looked for is any three in a row. Sets of 6 to K elements always share
+one (of u elements in the union at most u / 5 part the others into runs, one of which has three);
+smaller ones are listed by pairs.
 
 Lists generate overlaps in three ways, so that a large list costs a multiple of its length:
 1. every member with the list's smallest member, the pair that shares most lists first;
 2. members of different components so far, where a list's cross pairs are few;
 3. of the rest, a member with fewer than SAFE such crowded lists has other lists with any partner
-   (the chance that two similar sets share fewer than SAFE pairs is below 1e-7); members with more
+   (two similar sets share fewer than SAFE triples about as rarely as none); members with more
    are compared by the rarest fifth of their full sets, which an exact argument says must meet.
 Pairs are filtered by size and by the estimate of the union's sketch, then verified on full sets.
 """
@@ -29,11 +30,15 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Scratch, Words, mix, sliced
 from quarry.llm.components import components
 
-K = 40
-#: Of the K smallest of a union at least so many must be in both; at 0.8, fewer come with chance 1e-10.
-LEAST_SHARED = 12
-CROWDED = 2000
-SAFE = 5
+K = 64
+#: Of the K smallest of a union at least so many must be in both; at 0.8, fewer come with chance 1e-9.
+LEAST_SHARED = 28
+CROWDED = 100
+SAFE = 3
+#: Ids of documents whose sets are wanted are sent to all executors up to this many (8 MB).
+MOST_BROADCAST = 1 << 20
+#: Sets up to this size are listed by pairs, those from TRIPLES on by triples.
+PAIRS, TRIPLES = 7, 5
 
 
 def shingle_sets(words: Words, size: int) -> Iterator[np.ndarray]:
@@ -73,16 +78,24 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 def entries(reps: DataFrame) -> DataFrame:
     """key, rep, n: the inverted lists of neighbouring retained values."""
+    step = np.uint64(0xD1342543DE82EF95)
+
+    def keys(s: np.ndarray) -> np.ndarray:
+        two = s[:-1] * step + s[1:]
+        out = []
+        if len(s) <= PAIRS:
+            out.append(mix(two, 8))
+        if len(s) >= TRIPLES:
+            out.append(mix(two[:-1] * step + s[2:], 9))
+        return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = [np.frombuffer(x, np.uint64) for x in batch.column("sketch").to_pylist()]
-            pairs = [mix(s[:-1] * np.uint64(0xD1342543DE82EF95) + s[1:], 8) for s in data]
-            count = np.array([len(p) for p in pairs])
-            keys = np.concatenate(pairs) if len(pairs) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), count)), pa.array(np.repeat(batch.column("n").to_numpy(), count))], names=["key", "rep", "n"])
+            found = [keys(np.frombuffer(x, np.uint64)) for x in batch.column("sketch").to_pylist()]
+            count = np.array([len(p) for p in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(batch.column("rep").to_numpy(), count)), pa.array(np.repeat(batch.column("n").to_numpy(), count))], names=["key", "rep", "n"])
 
     return reps.select("rep", "n", "sketch").mapInArrow(run, "key long, rep long, n long")
 
@@ -162,12 +175,11 @@ class NearDuplicates:
         best = guess.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a"))
         links = self.write(self.verify(best.select("a", "b")), "links")
         label = components(links, self.scratch, f"cc{self.step}")
+        label = self.write(label, "label")
         rest = self.different(guess, label)
-        links = self.write(links.unionByName(self.verify(rest)), "links")
-        label = self.write(components(links, self.scratch, f"cc{self.step}"), "label")
-        more = self.cross_pairs(shared, label)
-        more = self.write(_flag_pairs(_with_both(more, self.sketch_of, "sketch"), "sketch", _estimate(self.percent)), "guess")
-        links = self.write(links.unionByName(self.verify(more)), "links")
+        more = self.write(self.cross_pairs(shared, label), "cross")
+        more = _flag_pairs(_with_both(more, self.sketch_of, "sketch"), "sketch", _estimate(self.percent))
+        links = self.write(links.unionByName(self.verify(rest.unionByName(more).distinct())), "links")
         same = rows.where("n > 0").join(members.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("doc_id", "rep")
         repeated = same.where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
         links = links.select("a", "b").unionByName(repeated)
@@ -184,7 +196,7 @@ class NearDuplicates:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are similar on full sets."""
         pairs = self.write(pairs, "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         sets = self.write(self.sets_of(needed), "sets")
         return _flag_pairs(_with_both(pairs, sets, "set"), "set", _exact(self.percent)).distinct()
 
@@ -196,6 +208,9 @@ class NearDuplicates:
                 sets = [s.tobytes() for s in shingle_sets(Words(batch.column("text"), lower=True), size)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["rep", "set"])
 
+        needed = self.write(needed, "needed")
+        if needed.count() <= MOST_BROADCAST:  # else both sides are shuffled
+            needed = F.broadcast(needed)
         docs = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
         return docs.mapInArrow(run, "rep long, set binary")
 
@@ -207,7 +222,7 @@ class NearDuplicates:
         open_lists = self.write(named.join(per_list, "key").select("key", "rep", "n", "component", "cross"), "open")
         few = open_lists.where(F.col("cross") <= CROWDED).select("key", "rep", "n", "component")
         pairs = self._cross(few, "key")
-        bound = open_lists.where(F.col("cross") > CROWDED).groupBy("rep", "n", "component").agg(F.count("*").alias("crowded")).where(F.col("crowded") >= F.least(F.lit(SAFE), F.col("n") - 1))
+        bound = open_lists.where(F.col("cross") > CROWDED).groupBy("rep", "n", "component").agg(F.count("*").alias("crowded")).where(F.col("crowded") >= F.least(F.lit(SAFE), F.greatest(F.col("n") - 2, F.lit(1))))
         bound = self.write(bound.select("rep", "n", "component"), "bound")
         if not bound.isEmpty():
             pairs = pairs.unionByName(self._cross(self.rarest(bound), "key")).distinct()
