@@ -79,6 +79,9 @@ class PieceModel:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
         self.unknown_score = lowest - UNKNOWN_PENALTY
         self.longest = max(map(len, self.vocabulary), default=1)
+        # suffixes of pieces: looking back from an end, nothing longer than a string not in here matches
+        self.tails: dict[str, tuple[float, int] | None] = {p[k:]: None for p in self.vocabulary for k in range(len(p))}
+        self.tails.update(self.vocabulary)
         # where no piece crosses from another character to SPACE, texts fall into independent segments
         self.segments = not any(SPACE in p.lstrip(SPACE) for p in self.vocabulary)
         self.value_of_byte = {i: b for b, i in self.byte_id.items()}
@@ -110,18 +113,20 @@ class PieceModel:
         piece back can get no new path into it, so paths go on from the last ``longest`` boundaries
         only; as soon as all of these lead back to one boundary, the pieces up to it are given out.
         """
-        get, longest, unknown = self.vocabulary.get, self.longest, self.unknown_score
+        get, longest, unknown = self.tails.get, self.longest, self.unknown_score
         base = 0  # the committed boundary
         best = [0.0]  # best[j]: score of the best path to boundary base + j
         back: list[tuple[int, int | None]] = [(0, None)]  # its last piece: start (in the window), id
         check = 2 * longest
         for end in range(1, len(text) + 1):
             top, origin = -np.inf, (0, None)
-            for start in range(max(base, end - longest), end):
-                found = get(text[start:end])
+            for start in range(end - 1, max(base, end - longest) - 1, -1):
+                found = get(text[start:end], 0)
+                if found == 0:
+                    break
                 if found is not None:
                     score = best[start - base] + found[0]
-                    if score > top:
+                    if score >= top:
                         top, origin = score, (start - base, found[1])
             if origin[1] is None or origin[0] != end - 1 - base:
                 if text[end - 1] not in self.vocabulary and best[-1] + unknown > top:
@@ -155,7 +160,37 @@ class PieceModel:
             to = start
         return reversed(out)
 
+    def _short(self, text: str) -> list[int] | None:
+        """Ids of a text below the first check of ``viterbi``, in which nothing is committed early:
+        the same recurrence without the window. None, if it has characters that no piece has."""
+        get, n = self.tails.get, len(text)
+        best, start_of, id_of = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            top = None
+            for start in range(end - 1, -1, -1):
+                found = get(text[start:end], 0)
+                if not found:
+                    if found == 0:
+                        break
+                    continue
+                score = best[start] + found[0]
+                if top is None or score >= top:
+                    top, start_of[end], id_of[end] = score, start, found[1]
+            if top is None:
+                return None
+            best[end] = top
+        ids = []
+        while n:
+            ids.append(id_of[n])
+            n = start_of[n]
+        ids.reverse()
+        return ids
+
     def _segment(self, segment: str) -> bytes:
+        if len(segment) < 2 * self.longest:
+            known = self._short(segment)
+            if known is not None:
+                return struct.pack(f"<{len(known)}i", *known)
         ids: list[int] = []
         for piece, i in self.viterbi(segment):
             if i is not None:
