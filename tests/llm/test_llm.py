@@ -33,7 +33,7 @@ def corpus(seed: int = 1, n: int = 40) -> list[tuple]:
         w = list(near)
         w[rng.randrange(len(w))] = f"other{i}"
         rows.append((n + 10 + i, " ".join(w)))
-    rows += [(n + 20, None), (n + 21, ""), (n + 22, " \n "), (None, passage), (n + 23, "one"), (n + 24, "one"), (n + 25, "a " * 3000), (n, rows[n][1]), (n + 26, "\u85odd　white \x1f space <|endoftext|> ▁▁ x")]
+    rows += [(n + 20, None), (n + 21, ""), (n + 22, " \n "), (None, passage), (n + 23, "one"), (n + 24, "one"), (n + 25, "a " * 3000), (n, rows[n][1]), (n + 26, "\x85odd　white \x1f space <|endoftext|> ▁▁ x")]
     rng.shuffle(rows)
     return rows
 
