@@ -233,28 +233,36 @@ def log_probabilities(streams: Streams, weights: dict[str, np.ndarray], pairs: P
     opening = np.zeros(total, bool)
     opening[block_start] = True
     distance = (np.arange(BLOCK) + BLOCK)[:, None] - np.arange(2 * BLOCK)[None]
-    bias = np.where(distance >= 0, weights["near"][np.maximum(distance, 0)], -1e9).astype(np.float32)
-    scale = np.float32(1 / math.sqrt(WIDTH))
-    # what a class brings as query, key and value doesn't depend on its place
-    q_of, k_of, v_of = (weights["embed"] @ weights[x] for x in ("query", "key", "value"))
-    q_of = q_of * scale
+    near = np.where(distance >= 0, np.exp(weights["near"][np.maximum(distance, 0)]), 0).astype(np.float32)
+    # queries, keys and values depend on a class, not on its place: so does the exponential of each
+    # pair's score (less its row's largest, which the normalisation takes out)
+    pair = (weights["embed"] @ weights["query"]) @ (weights["embed"] @ weights["key"]).T / math.sqrt(WIDTH)
+    pair = np.exp(pair - pair.max(1, keepdims=True)).astype(np.float32)
+    v_of = weights["embed"] @ weights["value"]
+    out_of = np.ascontiguousarray(weights["out"].T)
+    # |o @ out| is at most `reach`, since o is a mean of values; so its exponential needs no shift
+    reach = float(np.abs(v_of @ weights["out"]).max())
+    if reach > 60:
+        raise ValueError("the attention's logits are too large")
+    base_share = np.exp(pairs.base)
     out = np.zeros(total * BLOCK, np.float32)
     for a in range(0, total, blocks_at_once):
         b = min(a + blocks_at_once, total)
+        ranks, target_now = now[a * BLOCK : b * BLOCK], target_class[a * BLOCK : b * BLOCK]
         own = now_class[a * BLOCK : b * BLOCK]
         prior = now_class[max(a - 1, 0) * BLOCK : (b - 1) * BLOCK] if a else np.concatenate([own[:BLOCK], own[: (b - 1) * BLOCK]])
         keys = np.concatenate([prior.reshape(-1, BLOCK), own.reshape(-1, BLOCK)], 1)
-        s = q_of[own].reshape(-1, BLOCK, WIDTH) @ k_of[keys].transpose(0, 2, 1) + bias
-        s[opening[a:b], :, :BLOCK] = -1e9
-        o = (_softmax(s) @ v_of[keys]).reshape(-1, WIDTH)
+        att = pair[own.reshape(-1, BLOCK, 1), keys[:, None, :]]
+        att *= near
+        att[opening[a:b], :, :BLOCK] = 0
+        o = att @ v_of[keys]
+        o /= att.sum(2, keepdims=True)
+        o = o.reshape(-1, WIDTH)
         z = o @ weights["out"]
-        z += pairs.base[now[a * BLOCK : b * BLOCK]]
-        rows = np.arange(len(own))
-        top = z.max(1)
-        picked = z[rows, target_class[a * BLOCK : b * BLOCK]] - top
-        z -= top[:, None]
         np.exp(z, out=z)
-        out[a * BLOCK : b * BLOCK] = picked - np.log(z.sum(1))
+        norm = np.einsum("ij,ij->i", z, base_share[ranks])
+        picked = np.einsum("ij,ij->i", o, out_of[target_now]) + pairs.base[ranks, target_now]
+        out[a * BLOCK : b * BLOCK] = picked - np.log(norm)
     return out[place] / math.log(10) + pairs.within[now[place], target[place]]
 
 
