@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import sliced
+from quarry.llm.common import sliced, trim_memory
 
 #: Pieces of text that the byte-level pattern splits alike alone and within their text.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -20,7 +20,7 @@ _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _ODD = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: Fixed value: the pre-tokenization pattern of the byte-level vocabulary.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 CACHE_CHARS = 48
 
 
@@ -181,6 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_memory()
         encode = byte_bpe(tokenizer)
         end = struct.pack("<I", end_id)
         base = TaskContext.get().partitionId() << 40
@@ -220,6 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) ->
         packer.flush(end=True)
         if rows:
             yield out()
+        trim_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -18,7 +18,7 @@ _LITERAL = "\udfff"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS, CACHE_CHARS = 400_000, 48
+CACHE_SEGMENTS, CACHE_CHARS = 250_000, 48
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:

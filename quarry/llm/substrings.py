@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, mix, segment_sums, shuffle_partitions, sliced
+from quarry.llm.common import Words, mix, segment_sums, shuffle_partitions, sliced, trim_memory
 
 SEED = 6
 #: Runs of SEED words that make up more than 1 / HOT of the corpus are put last; so they are fewer than HOT.
@@ -31,7 +31,7 @@ HOT = 4096
 LONGEST = 512
 #: Parts of a shuffle partition that are counted one after the other.
 PARTS = 4
-SLICE = 6 << 20
+SLICE = 4 << 20
 
 
 def seeds(words: Words) -> np.ndarray:
@@ -274,6 +274,8 @@ def _count(length: int, most: int = 8 << 20):
                     else:
                         have[1], have[2] = min(have[1], low), max(have[2], high)
         yield from settle(merged)
+        merged = {}
+        trim_memory()
 
     return run
 
@@ -293,6 +295,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             rows = list(Buckets.pack(found, found.strings(words, length), batch.column("doc_id").to_pylist(), n * PARTS))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
+        trim_memory()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, most=SLICE):
@@ -301,6 +304,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             fps = np.array([xxhash.xxh3_64_intdigest(s) for s in found.strings(words, length)], np.uint64)
             columns = [found.minimiser.view(np.int64), fps.view(np.int64), batch.column("doc_id").to_numpy()[found.text], batch.column("row").to_numpy()[found.text], (found.first - words.first[found.text]).astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["minimiser", "fp", "doc_id", "row", "at"])
+        trim_memory()
 
     blobs = docs.mapInArrow(send, "bucket int, blob binary")
     blobs = blobs.repartitionById(n, (F.col("bucket") / PARTS).cast("int")).sortWithinPartitions("bucket")
@@ -349,5 +353,6 @@ def dedupe_windows(docs: DataFrame, length: int = 50, keep_layout: bool = False)
                 kept = pc.if_else(pa.array(left == n_words), batch.column("text").cast(pa.string()), kept)
             columns = [batch.column(c) for c in own] + [kept, pa.array(n_words), pa.array(n_words - left)]
             yield pa.RecordBatch.from_arrays(columns, names=[*own, "kept", "n_words", "n_removed"])
+        trim_memory()
 
     return joined.select(*own, "_spans").mapInArrow(run, schema)

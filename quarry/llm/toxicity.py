@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, crc_remainder, mix, sliced
+from quarry.llm.common import Words, crc_remainder, mix, sliced, trim_memory
 from quarry.llm.neardup import shingle_sets
 
 TOKEN = re.compile(r"\w+")
@@ -33,7 +33,7 @@ LEAST_SCORE, LEAST_Z = 1.5, 3.0
 #: Bounds of what the driver and each worker hold: labelled rows to learn from, tokens of the model.
 MOST_LABELLED = 200_000
 MOST_TOKENS = 100_000
-CACHE_TOKENS = 500_000
+CACHE_TOKENS = 200_000
 BIN = 0.25
 LIMIT = 400.0
 
@@ -171,7 +171,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     have = counts[t] = [0, 0, 0, 0]
                 have[at] += 1
                 have[at + 2] += n
-        if len(counts) > 500_000:
+        if len(counts) > 300_000:
             yield out()
     if counts:
         yield out()
@@ -305,5 +305,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 room = model.log_k + math.log(max(n, 1))
                 passages.append([{"first": a, "after": b, "nats": model.lam * s - room} for a, b, s in found if model.lam * s > room])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64()), pa.array(passages, passage)], names=[*own, "toxicity", "passages"])
+        del scores
+        trim_memory()
 
     return docs.mapInArrow(run, schema)
