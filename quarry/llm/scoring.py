@@ -5,9 +5,9 @@ id. Ids fall into classes: the most frequent ids are classes of their own, the o
 of equal mass; P(id) = P(class | context) * P(id | class, id before). The logits of the next class
 are those of its counts after the id before, over all training documents, plus what one head of
 self-attention over the last ids adds; P(id | class, id before) comes from the same counts. The
-attention is trained in numpy: each task goes over one window, at a place chosen by doc_id, of every
-training document it reads, all from one start, and the tasks' weights are averaged. A text is
-scored in blocks of BLOCK ids, each attending to itself and the block before: windows of 2 * BLOCK
+attention is trained in numpy: each task goes over all training documents it reads, cut into
+successive windows that cover them whole, a slice of texts at a time, all from one start, and the
+tasks' weights are averaged. A text is scored in blocks of BLOCK ids, each attending to itself and the block before: windows of 2 * BLOCK
 that overlap by half, in which every id is scored once. A word's probability is MEMORY times its
 share of all training words plus 1 - MEMORY times that of its ids, so that known words are not lost
 between the ids that spell them and new words are spelled.
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, Words, mix, sliced
+from quarry.llm.common import Scratch, Words, sliced
 from quarry.llm.packing import byte_bpe
 
 #: The end of a text among its words; no word holds it.
@@ -164,53 +164,79 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def train(windows: np.ndarray, base: np.ndarray, class_of: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights after EPOCHS passes of Adam over windows of 2 * BLOCK + 1 ranks."""
-    w = start_weights()
-    first = {k: np.zeros_like(v) for k, v in w.items()}
-    second = {k: np.zeros_like(v) for k, v in w.items()}
+_DISTANCE = np.arange(2 * BLOCK)[:, None] - np.arange(2 * BLOCK)[None]
+_AHEAD = _DISTANCE < 0
+
+
+def windows_of(streams: Streams) -> np.ndarray:
+    """Successive windows of 2 * BLOCK ranks that cover each text whole, each with the rank before it
+    (ACTIVE before and after the text)."""
     length = 2 * BLOCK
-    distance = np.arange(length)[:, None] - np.arange(length)[None]
-    ahead = distance < 0
-    scale = np.float32(1 / math.sqrt(WIDTH))
-    rng, step = np.random.default_rng(11), 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(windows))
-        for a in range(0, len(order), BATCH):
-            rows = windows[order[a : a + BATCH]].astype(np.int64)
-            ranks, classes = rows[:, :-1].reshape(-1), class_of[rows]
-            now, target = classes[:, :-1], classes[:, 1:]
-            n = now.size
-            x = w["embed"][now]
-            q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
-            s = q @ k.transpose(0, 2, 1) * scale + w["near"][np.maximum(distance, 0)]
-            s[:, ahead] = -1e9
-            att = _softmax(s)
-            o = att @ v
-            dz = _softmax((o.reshape(n, WIDTH) @ w["out"]) + base[ranks])
-            dz[np.arange(n), target.reshape(-1)] -= 1
-            dz /= n
-            g = {"out": o.reshape(n, WIDTH).T @ dz}
-            do = (dz @ w["out"].T).reshape(o.shape)
-            datt = do @ v.transpose(0, 2, 1)
-            dv = att.transpose(0, 2, 1) @ do
-            ds = att * (datt - (datt * att).sum(-1, keepdims=True))
-            g["near"] = np.bincount(distance[~ahead], ds.sum(0)[~ahead], length).astype(np.float32)
-            ds *= scale
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            flat = lambda m: m.reshape(n, WIDTH)
-            xf = flat(x)
-            g |= {"query": xf.T @ flat(dq), "key": xf.T @ flat(dk), "value": xf.T @ flat(dv)}
-            dx = flat(dq) @ w["query"].T + flat(dk) @ w["key"].T + flat(dv) @ w["value"].T
-            hot = np.zeros((n, CLASSES), np.float32)
-            hot[np.arange(n), now.reshape(-1)] = 1
-            g["embed"] = hot.T @ dx
-            step += 1
-            for name, grad in g.items():
-                first[name] += 0.1 * (grad - first[name])
-                second[name] += 0.01 * (grad * grad - second[name])
-                w[name] = (w[name] - RATE * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return w
+    n = -(-streams.length // length)
+    text = np.repeat(np.arange(len(n)), n)
+    place = ((np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * length)[:, None] + np.arange(length + 1)[None] - 1
+    inside = (place >= 0) & (place < streams.length[text][:, None])
+    at = np.clip(streams.start[text][:, None] + place, 0, max(len(streams.stream) - 1, 0))
+    return np.where(inside, streams.stream[at], ACTIVE).astype(np.uint16)
+
+
+class Training:
+    """Weights under Adam; ``add`` makes EPOCHS passes over some windows of ``windows_of``."""
+
+    def __init__(self, base: np.ndarray, class_of: np.ndarray, end_rank: int):
+        self.base, self.class_of, self.end_rank = base, class_of, end_rank
+        self.weights = start_weights()
+        self.first = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        self.second = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        self.rng, self.step, self.windows = np.random.default_rng(11), 0, 0
+
+    def add(self, windows: np.ndarray) -> None:
+        self.windows += len(windows)
+        for _ in range(EPOCHS):
+            order = self.rng.permutation(len(windows))
+            for a in range(0, len(order), BATCH):
+                self._step(windows[order[a : a + BATCH]].astype(np.int64))
+
+    def _step(self, rows: np.ndarray) -> None:
+        w, length = self.weights, 2 * BLOCK
+        scale = np.float32(1 / math.sqrt(WIDTH))
+        # places behind a text's end teach nothing; before its start is an end
+        beyond = np.flatnonzero(rows[:, 1:].reshape(-1) == ACTIVE)
+        rows = np.where(rows == ACTIVE, self.end_rank, rows)
+        ranks, classes = rows[:, :-1].reshape(-1), self.class_of[rows]
+        now, target = classes[:, :-1], classes[:, 1:]
+        n = now.size
+        x = w["embed"][now]
+        q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
+        s = q @ k.transpose(0, 2, 1) * scale
+        s += np.where(_AHEAD, np.float32(-1e9), w["near"][np.maximum(_DISTANCE, 0)])
+        att = _softmax(s)
+        o = att @ v
+        dz = _softmax((o.reshape(n, WIDTH) @ w["out"]) + self.base[ranks])
+        dz[np.arange(n), target.reshape(-1)] -= 1
+        dz[beyond] = 0
+        dz /= n - len(beyond)
+        g = {"out": o.reshape(n, WIDTH).T @ dz}
+        do = (dz @ w["out"].T).reshape(o.shape)
+        datt = do @ v.transpose(0, 2, 1)
+        dv = att.transpose(0, 2, 1) @ do
+        ds = att * (datt - (datt * att).sum(-1, keepdims=True))
+        g["near"] = np.bincount(_DISTANCE[~_AHEAD], ds.sum(0)[~_AHEAD], length).astype(np.float32)
+        ds *= scale
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        flat = lambda m: m.reshape(n, WIDTH)
+        xf = flat(x)
+        g |= {"query": xf.T @ flat(dq), "key": xf.T @ flat(dk), "value": xf.T @ flat(dv)}
+        dx = flat(dq) @ w["query"].T + flat(dk) @ w["key"].T + flat(dv) @ w["value"].T
+        hot = np.zeros((n, CLASSES), np.float32)
+        hot[np.arange(n), now.reshape(-1)] = 1
+        g["embed"] = hot.T @ dx
+        self.step += 1
+        for name, grad in g.items():
+            first, second = self.first[name], self.second[name]
+            first += 0.1 * (grad - first)
+            second += 0.01 * (grad * grad - second)
+            w[name] = (w[name] - RATE * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
 
 
 def log_probabilities(streams: Streams, weights: dict[str, np.ndarray], pairs: Pairs, ids: Ids, blocks_at_once: int = 96) -> np.ndarray:
@@ -316,18 +342,12 @@ def _add_counts(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple
     return both, np.bincount(back, np.concatenate([counts, n]), len(both))
 
 
-def learn(docs: DataFrame, ids: Ids) -> tuple[dict[str, np.ndarray], Pairs]:
-    """Averaged weights of the attention, and the counts of pairs over all ids of ``docs``.
-
-    A task passes on sums: its weights times its windows, and its pairs. The driver gets one row for
-    each number of the model, at most ACTIVE * ACTIVE of them for pairs."""
-    shape = {k: v.shape for k, v in start_weights().items()}
-    sizes = {k: int(np.prod(s)) for k, s in shape.items()}
-    n_weights = sum(sizes.values())
+def pair_counts(docs: DataFrame, ids: Ids) -> Pairs:
+    """The counts of pairs over all ids of ``docs``: at most ACTIVE * ACTIVE rows to the driver."""
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, windows = shared.value, []
+        ids = shared.value
         end_rank = int(ids.rank[ids.end])
         keys, counts = np.zeros(0, np.int64), np.zeros(0)
         for batch in sliced(batches):
@@ -336,30 +356,44 @@ def learn(docs: DataFrame, ids: Ids) -> tuple[dict[str, np.ndarray], Pairs]:
             before[1:] = s.stream[:-1]
             before[s.start] = end_rank
             keys, counts = _add_counts(keys, counts, before * ACTIVE + s.stream)
-            # one window of each text, at a place that its doc_id chooses; short texts are filled up with ends
-            seed = mix(np.asarray(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64), 21)
-            room = np.maximum(s.length - 2 * BLOCK, 1).astype(np.uint64)
-            place = (seed % room).astype(np.int64)[:, None] + np.arange(2 * BLOCK + 1)[None] - 1
-            inside = (place >= 0) & (place < s.length[:, None])
-            windows.append(np.where(inside, s.stream[np.clip(s.start[:, None] + place, 0, len(s.stream) - 1)], end_rank).astype(np.uint16))
-        if not windows:
-            return
-        windows = np.concatenate(windows)
-        weights = train(windows, Pairs.of(keys, counts, ids).base, ids.class_of)
-        values = np.concatenate([weights[k].reshape(-1) for k in sizes]).astype(np.float64) * len(windows)
-        k = np.concatenate([np.arange(n_weights), n_weights + keys, [-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate([values, counts, [len(windows)]]))], names=["k", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["k", "v"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    rows = docs.select("text").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
     k, v = rows.column("k").to_numpy(), rows.column("v").to_numpy()
     order = np.argsort(k)
-    k, v = k[order], v[order]
+    return Pairs.of(k[order], v[order], ids)
+
+
+def learn(docs: DataFrame, ids: Ids) -> tuple[dict[str, np.ndarray], Pairs]:
+    """Averaged weights of the attention over all windows of ``docs``, and the counts of their pairs.
+
+    A task trains on a slice of texts at a time and passes on its weights times its windows; the
+    driver gets one row for each number of the model."""
+    shape = {k: v.shape for k, v in start_weights().items()}
+    sizes = {k: int(np.prod(s)) for k, s in shape.items()}
+    n_weights = sum(sizes.values())
+    pairs = pair_counts(docs, ids)
+    shared = docs.sparkSession.sparkContext.broadcast((ids, pairs.base))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, base = shared.value
+        training = Training(base, ids.class_of, int(ids.rank[ids.end]))
+        for batch in sliced(batches):
+            training.add(windows_of(Streams(batch.column("text"), ids)))
+        if not training.windows:
+            return
+        values = np.concatenate([training.weights[k].reshape(-1) for k in sizes]).astype(np.float64) * training.windows
+        k = np.arange(-1, n_weights)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate([[training.windows], values]))], names=["k", "v"])
+
+    rows = docs.select("text").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    v = rows.column("v").to_numpy()[np.argsort(rows.column("k").to_numpy())]
     weights, at = start_weights(), 1
-    if len(k):
+    if len(v):
         for name, size in sizes.items():
             weights[name] = (v[at : at + size] / v[0]).reshape(shape[name]).astype(np.float32)
             at += size
-    return weights, Pairs.of(k[at:] - n_weights, v[at:], ids)
+    return weights, pairs
 
 
 def score(docs: DataFrame, is_training: Column, tokenizer: str, end: int = 50256, vocabulary: int = 50257) -> DataFrame:

@@ -318,6 +318,21 @@ def test_blocks_agree_with_plain_attention():
             assert abs(expected - got[a + t]) < 1e-3
 
 
+def test_attention_learns_from_whole_texts(spark):
+    rng = random.Random(14)
+    body = [f"{a}{b}" for a in ("the", "on", "x,") for b in ("a", "ti", "ng.")]
+    block = lambda k: rng.choices(body, k=k)
+    x, y, middle = block(9), block(9), block(1500)
+    # blocks between equal words, swapped near the start or the end: the counts of pairs stay the same
+    text = lambda a, b: " ".join(["a", *a[0], "a", *a[1], "a", *middle, "a", *b[0], "a", *b[1], "a"])
+    known = np.concatenate([np.frombuffer(packing.byte_bpe(BPE)(" " + w), "<u4") for w in ["a", *body]])
+    ids = scoring.Ids.of(BPE, 50256, np.bincount(known, minlength=50257))
+    learned = [scoring.learn(spark.createDataFrame([(5, text(a, b))], "doc_id long, text string").coalesce(1), ids) for a, b in (((x, y), (x, y)), ((y, x), (x, y)), ((x, y), (y, x)))]
+    for weights, pairs in learned[1:]:
+        assert np.array_equal(pairs.base, learned[0][1].base)
+        assert not np.array_equal(weights["embed"], learned[0][0]["embed"])
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = [rng.normal(size=6).tolist() for _ in range(120)]
