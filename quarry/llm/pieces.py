@@ -1,7 +1,12 @@
-"""SentencePiece encoding and decoding by streaming Viterbi."""
+"""SentencePiece encoding and decoding: merges by rank for BPE models, streaming Viterbi for unigram ones.
+
+A Viterbi search maximises the sum of the pieces' scores. That is how SentencePiece reads a unigram
+model; a BPE model's scores are ranks of merges, and its ids come from merging in that order.
+"""
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
 from collections.abc import Iterator
@@ -19,6 +24,9 @@ _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10.0
 CACHE_SEGMENTS, CACHE_CHARS = 250_000, 48
+_BPE = 2
+#: Segments up to this length are merged by looking over all pairs, longer ones with a heap.
+SCANNED_CHARS = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -61,6 +69,7 @@ class PieceModel:
         self.byte_id: dict[int, int] = {}
         self.unknown_id = 0
         self.prefix = True
+        self.merges = False
         lowest = 0.0
         for number, value in _fields(data):
             if number == 1:
@@ -75,6 +84,8 @@ class PieceModel:
                     self.byte_id[int(piece[3:5], 16)] = i
                 elif kind == _UNKNOWN:
                     self.unknown_id = i
+            elif number == 2:
+                self.merges = dict(_fields(value)).get(3, 1) == _BPE
             elif number == 3:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
         self.unknown_score = lowest - UNKNOWN_PENALTY
@@ -186,13 +197,60 @@ class PieceModel:
         ids.reverse()
         return ids
 
+    def merged(self, text: str) -> list[str]:
+        """The pieces of ``text`` by merges: of neighbours that form a piece, those of the highest
+        score are joined first, of equal ones the leftmost, until none form a piece."""
+        if len(text) > SCANNED_CHARS:
+            return self._merged_by_heap(text)
+        get, none = self.vocabulary.get, (-np.inf, 0)
+        parts = list(text)
+        scores = [get(a + b, none)[0] for a, b in zip(parts, parts[1:])]
+        while scores:
+            top = max(scores)
+            if top == none[0]:
+                break
+            i = scores.index(top)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = get(parts[i - 1] + parts[i], none)[0]
+            if i < len(scores):
+                scores[i] = get(parts[i] + parts[i + 1], none)[0]
+        return parts
+
+    def _merged_by_heap(self, text: str) -> list[str]:
+        get, n = self.vocabulary.get, len(text)
+        parts: list[str] = list(text)  # by its first place; "" where a part has gone into one before
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-found[0], i, 2) for i in range(n - 1) if (found := get(text[i : i + 2]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size:
+                continue  # one of the two has been merged since
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (found := get(parts[a] + parts[b])):
+                    heapq.heappush(heap, (-found[0], a, len(parts[a]) + len(parts[b])))
+        return [p for p in parts if p]
+
+    def _pieces(self, segment: str) -> Iterator[tuple[str, int | None]]:
+        if not self.merges:
+            return self.viterbi(segment)
+        return ((p, self.vocabulary.get(p, (0.0, None))[1]) for p in self.merged(segment))
+
     def _segment(self, segment: str) -> bytes:
-        if len(segment) < 2 * self.longest:
+        if not self.merges and len(segment) < 2 * self.longest:
             known = self._short(segment)
             if known is not None:
                 return struct.pack(f"<{len(known)}i", *known)
         ids: list[int] = []
-        for piece, i in self.viterbi(segment):
+        for piece, i in self._pieces(segment):
             if i is not None:
                 ids.append(i)
             elif self.byte_id:
@@ -236,7 +294,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     Null or empty text: no ids. Repeated rows are encoded each. Other columns come through, but for
     one named ids, which is replaced. An empty table stays empty. Texts of any length: memory is the
-    text, its ids and the window of the search.
+    text, its ids and the parts of its longest segment. For a BPE model the ids are SentencePiece's,
+    but for a SPACE character in the text: it is spelled in bytes, so that decoding gives it back.
     """
     docs = docs.drop("ids")
     own = docs.columns

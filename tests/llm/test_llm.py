@@ -215,6 +215,19 @@ def test_sentencepiece(spark):
     assert Counter((r["doc_id"], r["decoded"]) for r in out.collect()) == Counter((i, t or "") for i, t in rows)
 
 
+def test_sentencepiece_gives_the_models_ids():
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=SP)
+    m, rng = pieces.piece_model(SP), random.Random(15)
+    texts = [t.replace("▁", "_") for _, t in corpus(7) if t]
+    texts += ["the", "  the  other   ", " ", "\x00 \n\t<s> <0x41> </s>", "the" * 400, "a" * 777, "=" * 500 + "ab" * 99, "".join(rng.choices("aetho nsi-", k=5000)), "".join(rng.choices("aethonsi漢é", k=3000))]
+    texts += ["".join(rng.choices("etaoinshr", k=rng.randrange(1, 130))) for _ in range(300)]
+    for t in texts:
+        assert np.frombuffer(m.encode(t), "<i4").tolist() == sp.encode(t)
+        assert m.decode(m.encode(t)) == t
+        for w in t.split(" ")[:50]:
+            assert m.merged(w) == m._merged_by_heap(w)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi ### there"), (1, 1, "user", "again </turn>+"), (1, 2, "assistant", "\\s \\ ###"), (1, 2, "assistant", "\\s \\ ###"), (2, None, None, None), (2, 1, "a: b\n", ""), (None, 1, "assistant", "x"), (3, 1, "assistant", "####"), (3, 2, "user", "\\### Assistant: </turn> ok")]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(0)))
