@@ -10,17 +10,24 @@ from pyspark.sql import functions as F
 from quarry.functions.text import dot
 
 RRF_K = 60
+#: Vectors that a query meets at a time.
+BLOCK = 512
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query, id, score, rank: the k vectors of largest inner product with each query (query, q).
 
-    Queries are a stated, small set: each row of ``vectors`` meets each of them in place, and only k
-    rows a query and partition are shuffled.
+    Neither side need be small: each query meets the vectors a block at a time, and only k rows a
+    query and block go on to be ranked. A null product comes last.
     """
-    pairs = vectors.crossJoin(queries).select("query", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    block = F.floor(F.monotonically_increasing_id() / BLOCK)
+    blocks = vectors.select(block.alias("block"), F.struct("id", "v").alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
+    score = lambda r: F.round(dot(r["v"], F.col("q")), 6)
+    found = F.transform("rows", lambda r: F.struct((-score(r)).alias("s"), r["id"].alias("id")))
+    found = F.transform(found, lambda x: F.struct(x["s"].isNull().alias("none"), x["s"].alias("s"), x["id"].alias("id")))
+    best = blocks.crossJoin(queries).select("query", F.inline(F.slice(F.array_sort(found), 1, k)))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("none", "s", "id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", (-F.col("s")).alias("score"), "rank")
 
 
 def ranked(scores: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

@@ -101,15 +101,26 @@ ds AS (SELECT query, vec_id AS id, label, round(list_dot_product(embedding::DOUB
 dense AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ds)"""
 
 
-def _dense(spark, sf_dir, k):
+def _dense(spark, sf_dir, k, asked):
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 8").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))  # eight stated queries
-    return retrieval.dense_top(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), F.broadcast(asked), k)
+    asked = v.where(asked).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    top = retrieval.dense_top(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), asked, k)
+    return top.select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"WITH {DENSE_SQL} SELECT query, id, score, rank FROM dense WHERE rank <= 10")
 def dense_topk(spark, sf_dir):
-    return _dense(spark, sf_dir, 10).select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
+    """Its SQL states the eight queries; ``dense_topk_hundredths`` asks for all."""
+    return _dense(spark, sf_dir, 10, "vec_id < 8")
+
+
+@query("""WITH vq AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+ds AS (SELECT query, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings CROSS JOIN vq),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM ds)
+SELECT query, id, score, rank FROM dense WHERE rank <= 10""")
+def dense_topk_hundredths(spark, sf_dir):
+    """Every row whose id is divisible by 100 against all rows."""
+    return _dense(spark, sf_dir, 10, "vec_id % 100 = 0")
 
 
 @query("""WITH n AS (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM embeddings)

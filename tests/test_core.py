@@ -149,3 +149,20 @@ def test_overlap_slack(spark, slack, expected):
     a = spark.createDataFrame([("p", 1, 1, 5)], "k string, x long, x_low long, x_high long")
     b = spark.createDataFrame([("p", 2, 8, 9)], "k string, y long, y_low long, y_high long")
     assert (retrieval.overlapping(a, b, "k", slack).count() == 1) is expected
+
+
+def test_dense_search_asks_for_every_hundredth(spark, tmp_path):
+    import random
+
+    from quarry.operators import retrieval
+    from quarry.plans import catalog
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(1250)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in catalog.QUERIES["dense_topk_hundredths"](spark, str(tmp_path)).collect()}
+    expected = {}
+    for q, a in rows[::100]:
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows)[:10]
+        expected |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
+    assert got == expected and len(got) == 130 and len(rows) > 2 * retrieval.BLOCK
