@@ -78,14 +78,12 @@ class Streams:
     """The ranks of the ids of a slice's texts, one text after the other: pieces of words, then the
     end. ``word_at``: where each word, or end, begins; ``spread``: the sum of its ids' spreads."""
 
-    _cache: dict[str, dict] = {}
-
     def __init__(self, column: pa.Array, ids: Ids):
         self.words = Words(column, lower=True)
         coded = self.words.array().dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.distinct = coded.dictionary
-        cache = self._cache.setdefault(f"{ids.tokenizer}/{id(ids)}", {})
+        cache = ids.__dict__.setdefault("_words", {})  # not by id(): a later object can have the same
         if len(cache) > CACHE_WORDS:
             cache.clear()
         encode = byte_bpe(ids.tokenizer)
