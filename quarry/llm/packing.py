@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import sliced, trim_memory
+from quarry.llm.common import bound_batches, sliced, trim_memory
 
 #: Pieces of text that the byte-level pattern splits alike alone and within their text.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -41,9 +41,8 @@ class ByteBPE:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
@@ -68,6 +67,14 @@ class ByteBPE:
         ids = self.encoder.encode_ordinary(chunk)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    @property
+    def whole(self):
+        if self._whole is None:  # few texts need it
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def __call__(self, text: str) -> bytes:
         if _ODD.search(text) or self.added.search(text):
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,76 +85,102 @@ _ENCODERS: dict[str, ByteBPE] = {}
 
 
 def byte_bpe(path: str) -> ByteBPE:
-    """One encoder for each file and Python worker."""
+    """One encoder for each file and Python worker, until ``forget_encoders``."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ByteBPE(path)
     return _ENCODERS[path]
 
 
+def forget_encoders() -> None:
+    """For the end of a task: its worker lives on, for tasks of other operators too."""
+    _ENCODERS.clear()
+    trim_memory()
+
+
 class SumOfSquares:
     """Windows of ``size`` tokens, filled online.
 
     ``levels[h]`` counts the partially filled windows that hold h tokens. A piece goes to the level
     (0: a new window) after which the sum of the squared counts is least; of equal levels the
     fullest is taken. Pieces of a window are given out when it is full. At most ``most_open``
-    windows stay open: beyond it, and at the end, the open ones' pieces are laid end to end and cut
-    into full windows. What then remains, less than one window, is cut at powers of two.
+    windows stay open: with so many, a piece that would open another is cut, to fill the emptiest
+    of them and go on with the rest. At the end the emptiest window is taken apart and its pieces
+    are placed by the same rule among the others, cut where no level has room, until one window is
+    left; that is cut at powers of two. ``placed`` and ``settled`` count the windows closed before
+    the end and at it.
     """
 
-    def __init__(self, size: int, emit: Callable[[list, int], None], most_open: int = 2048):
+    def __init__(self, size: int, emit: Callable[[list, int], None], most_open: int = 512):
         self.size, self.emit, self.most_open = size, emit, most_open
         self.levels = np.zeros(size + 1, np.int64)
         self.open: list[list[list]] = [[] for _ in range(size)]
         self.n_open = 0
+        self.placed = self.settled = 0
+        self._ending = False
 
-    def add(self, piece: tuple) -> None:
-        """piece: (document, start, length); cut already to at most one window."""
-        length = piece[2]
-        if length == self.size:
-            self.emit([piece], self.size)
-            return
+    def best_level(self, length: int, new: bool) -> int | None:
+        """The level to put ``length`` tokens in; 0, a new window, only if ``new``."""
         levels = self.levels
         change = 2 * (levels[length:] - levels[: self.size - length + 1]) + 2  # h leaves, h + length comes
-        change[0] = 2 * levels[length] + 1  # a new window: no level loses one
+        change[0] = 2 * levels[length] + 1 if new else np.iinfo(np.int64).max  # no level loses one
         change[-1] -= 2 * levels[self.size] + 1  # a full window is not counted
         change[1:][levels[1 : len(change)] == 0] = np.iinfo(np.int64).max
         at = len(change) - 1 - int(np.argmin(change[::-1]))
+        return None if change[at] == np.iinfo(np.int64).max else at
+
+    def add(self, piece: tuple, new: bool = True) -> None:
+        """piece: (document, start, length); cut already to at most one window."""
+        doc, start, length = piece
+        while length:
+            if length == self.size:
+                self._close([(doc, start, length)])
+                return
+            at = self.best_level(length, new)
+            if new and at == 0 and self.n_open >= self.most_open:
+                at = None
+            if at is None and not self.n_open:
+                at = 0
+            take = length
+            if at is None:  # no room for all of it: fill the emptiest window
+                at = int(np.flatnonzero(self.levels)[0])
+                take = min(length, self.size - at)
+            self._put(at, (doc, start, take))
+            start, length = start + take, length - take
+
+    def _put(self, at: int, piece: tuple) -> None:
+        window = []
         if at:
             window = self.open[at].pop()
-            levels[at] -= 1
+            self.levels[at] -= 1
             self.n_open -= 1
-        else:
-            window = []
         window.append(piece)
-        if at + length == self.size:
-            self.emit(window, self.size)
-            return
-        self.open[at + length].append(window)
-        levels[at + length] += 1
-        self.n_open += 1
-        if self.n_open > self.most_open:
-            self.flush()
-
-    def flush(self, end: bool = False) -> None:
-        pieces = [p for windows in reversed(self.open) for w in windows for p in w]
-        self.open = [[] for _ in range(self.size)]
-        self.levels[:] = 0
-        self.n_open = 0
-        window, left = [], self.size
-        for doc, start, length in pieces:
-            while length:
-                take = min(length, left)
-                window.append((doc, start, take))
-                start, length, left = start + take, length - take, left - take
-                if not left:
-                    self.emit(window, self.size)
-                    window, left = [], self.size
-        if window and not end:
-            held = self.size - left
+        held = at + piece[2]
+        if held == self.size:
+            self._close(window)
+        else:
             self.open[held].append(window)
-            self.levels[held] = self.n_open = 1
-        elif window:
-            self._tail(window, self.size - left)
+            self.levels[held] += 1
+            self.n_open += 1
+
+    def _close(self, window: list) -> None:
+        self.placed += not self._ending
+        self.settled += self._ending
+        self.emit(window, self.size)
+
+    def finish(self) -> None:
+        """Closes what is open."""
+        self._ending = True
+        while self.n_open > 1:
+            for piece in self._take(int(np.flatnonzero(self.levels)[0])):
+                self.add(piece, new=False)
+        if self.n_open:
+            held = int(np.flatnonzero(self.levels)[0])
+            self._tail(self._take(held), held)
+
+    def _take(self, level: int) -> list:
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
 
     def _tail(self, pieces: list, held: int) -> None:
         """Sequences of lengths that are powers of two, the largest first."""
@@ -181,7 +214,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim_memory()
         encode = byte_bpe(tokenizer)
         end = struct.pack("<I", end_id)
         base = TaskContext.get().partitionId() << 40
@@ -218,11 +250,13 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) ->
                     packer.add(((doc_id, rest, n), cut, n - cut))
             if rows and (state["bytes"] > 4 << 20 or len(rows) > 20_000):
                 yield out()
-        packer.flush(end=True)
+        packer.finish()
         if rows:
             yield out()
-        trim_memory()
+        del packer, encode
+        forget_encoders()
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
