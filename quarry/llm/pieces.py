@@ -1,32 +1,40 @@
-"""SentencePiece encoding and decoding: merges by rank for BPE models, streaming Viterbi for unigram ones.
-
-A Viterbi search maximises the sum of the pieces' scores. That is how SentencePiece reads a unigram
-model; a BPE model's scores are ranks of merges, and its ids come from merging in that order.
+"""SentencePiece encoding and decoding by a streaming Viterbi search.
+
+The search goes over the boundaries of a text. Each keeps a backpointer, the last piece of the best
+path that ends there, and only the window since the last committed boundary is held: new paths go on
+from the last ``longest`` boundaries (``longest``: characters of the longest piece), and as soon as
+all of these lead back to one boundary, the ids up to it are given out.
+
+For a unigram model the best path is that of the largest sum of scores. A BPE model's scores are
+ranks of merges, and its ids come from merging in their order. Merges in one part of a text don't
+depend on another until one joins both, so a path is what merging gives just when each two
+neighbouring pieces, merged alone, stay those two. Of the pieces that end at a boundary exactly one
+agrees in this way with the path before it; all others are dropped from the lattice.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import sliced
+from quarry.llm.common import bound_batches, sliced, trim_memory
 
 SPACE = "▁"
 #: Stands for a SPACE character that the text itself holds; valid texts hold no lone surrogate.
 _LITERAL = "\udfff"
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_WINDOW = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS, CACHE_CHARS = 250_000, 48
+CACHE_WINDOWS, CACHE_CHARS, CACHE_PAIRS = 200_000, 48, 500_000
 _BPE = 2
-#: Segments up to this length are merged by looking over all pairs, longer ones with a heap.
-SCANNED_CHARS = 64
+#: Stands for the piece before the first one.
+_START = -1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -90,21 +98,28 @@ class PieceModel:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
         self.unknown_score = lowest - UNKNOWN_PENALTY
         self.longest = max(map(len, self.vocabulary), default=1)
-        # suffixes of pieces: looking back from an end, nothing longer than a string not in here matches
-        self.tails: dict[str, tuple[float, int] | None] = {p[k:]: None for p in self.vocabulary for k in range(len(p))}
-        self.tails.update(self.vocabulary)
-        # where no piece crosses from another character to SPACE, texts fall into independent segments
-        self.segments = not any(SPACE in p.lstrip(SPACE) for p in self.vocabulary)
+        self.shift = len(self.pieces).bit_length()
+        # finds all pieces that end at a character, the longest first
+        self.lattice = ahocorasick.Automaton()
+        for piece, (score, i) in self.vocabulary.items():
+            self.lattice.add_word(piece, (len(piece), i, score))
+        self.lattice.make_automaton()
+        # no piece crosses from another character to SPACE: all paths meet there, whatever the text
+        self.windows = not any(SPACE in p.lstrip(SPACE) for p in self.vocabulary)
         self.value_of_byte = {i: b for b, i in self.byte_id.items()}
-        encode = self._segment
+        self.agreeing: dict[int, bool] = {}
+        window_ids = self._ids
 
         class Cache(dict):
-            def __missing__(self, segment: str) -> bytes:
-                ids = encode(segment)
-                if len(segment) <= CACHE_CHARS:
-                    if len(self) >= CACHE_SEGMENTS:
+            older: dict[str, bytes] = {}
+
+            def __missing__(self, window: str) -> bytes:
+                ids = self.older.get(window) or window_ids(window)
+                if len(window) <= CACHE_CHARS:
+                    if len(self) >= CACHE_WINDOWS:  # what was used since the last time stays
+                        self.older = dict(self)
                         self.clear()
-                    self[segment] = ids
+                    self[window] = ids
                 return ids
 
         self.cache = Cache()
@@ -116,92 +131,9 @@ class PieceModel:
             text = text.replace(SPACE, _LITERAL)
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE)
 
-    def viterbi(self, text: str) -> Iterator[tuple[str, int | None]]:
-        """The pieces of the best path over ``text``, each with its id (None: spell it in bytes).
-
-        The score of a path is the sum of its pieces'; of equal ones the longer last piece wins.
-        Kept is only the window since the last committed boundary. A boundary more than a longest
-        piece back can get no new path into it, so paths go on from the last ``longest`` boundaries
-        only; as soon as all of these lead back to one boundary, the pieces up to it are given out.
-        """
-        get, longest, unknown = self.tails.get, self.longest, self.unknown_score
-        base = 0  # the committed boundary
-        best = [0.0]  # best[j]: score of the best path to boundary base + j
-        back: list[tuple[int, int | None]] = [(0, None)]  # its last piece: start (in the window), id
-        check = 2 * longest
-        for end in range(1, len(text) + 1):
-            top, origin = -np.inf, (0, None)
-            for start in range(end - 1, max(base, end - longest) - 1, -1):
-                found = get(text[start:end], 0)
-                if found == 0:
-                    break
-                if found is not None:
-                    score = best[start - base] + found[0]
-                    if score >= top:
-                        top, origin = score, (start - base, found[1])
-            if origin[1] is None or origin[0] != end - 1 - base:
-                if text[end - 1] not in self.vocabulary and best[-1] + unknown > top:
-                    top, origin = best[-1] + unknown, (end - 1 - base, None)
-            best.append(top)
-            back.append(origin)
-            if end - base >= check and end < len(text):
-                alive = {j for j in range(max(0, len(best) - longest), len(best)) if best[j] > -np.inf}
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.discard(last)
-                    alive.add(back[last][0])
-                meet = alive.pop()
-                if meet:
-                    yield from self._path(text, base, back, meet)
-                    lift = best[meet]
-                    best = [x - lift for x in best[meet:]]
-                    back = [(max(0, a - meet), i) for a, i in back[meet:]]
-                    base += meet
-                    check = 2 * longest
-                else:
-                    check = 2 * (end - base)  # not yet one path: look again when the window has doubled
-        yield from self._path(text, base, back, len(text) - base)
-
-    @staticmethod
-    def _path(text: str, base: int, back: list, to: int) -> Iterator[tuple[str, int | None]]:
-        out = []
-        while to:
-            start, piece = back[to]
-            out.append((text[base + start : base + to], piece))
-            to = start
-        return reversed(out)
-
-    def _short(self, text: str) -> list[int] | None:
-        """Ids of a text below the first check of ``viterbi``, in which nothing is committed early:
-        the same recurrence without the window. None, if it has characters that no piece has."""
-        get, n = self.tails.get, len(text)
-        best, start_of, id_of = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            top = None
-            for start in range(end - 1, -1, -1):
-                found = get(text[start:end], 0)
-                if not found:
-                    if found == 0:
-                        break
-                    continue
-                score = best[start] + found[0]
-                if top is None or score >= top:
-                    top, start_of[end], id_of[end] = score, start, found[1]
-            if top is None:
-                return None
-            best[end] = top
-        ids = []
-        while n:
-            ids.append(id_of[n])
-            n = start_of[n]
-        ids.reverse()
-        return ids
-
     def merged(self, text: str) -> list[str]:
-        """The pieces of ``text`` by merges: of neighbours that form a piece, those of the highest
-        score are joined first, of equal ones the leftmost, until none form a piece."""
-        if len(text) > SCANNED_CHARS:
-            return self._merged_by_heap(text)
+        """The pieces of a short ``text`` by merges: of neighbours that form a piece, those of the
+        highest score are joined first, of equal ones the leftmost, until none form a piece."""
         get, none = self.vocabulary.get, (-np.inf, 0)
         parts = list(text)
         scores = [get(a + b, none)[0] for a, b in zip(parts, parts[1:])]
@@ -218,53 +150,112 @@ class PieceModel:
                 scores[i] = get(parts[i] + parts[i + 1], none)[0]
         return parts
 
-    def _merged_by_heap(self, text: str) -> list[str]:
-        get, n = self.vocabulary.get, len(text)
-        parts: list[str] = list(text)  # by its first place; "" where a part has gone into one before
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(-found[0], i, 2) for i in range(n - 1) if (found := get(text[i : i + 2]))]
-        heapq.heapify(heap)
-        while heap:
-            _, i, size = heapq.heappop(heap)
-            j = after[i]
-            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != size:
-                continue  # one of the two has been merged since
-            parts[i] += parts[j]
-            parts[j] = ""
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for a, b in ((before[i], i), (i, k)):
-                if a >= 0 and b < n and (found := get(parts[a] + parts[b])):
-                    heapq.heappush(heap, (-found[0], a, len(parts[a]) + len(parts[b])))
-        return [p for p in parts if p]
-
-    def _pieces(self, segment: str) -> Iterator[tuple[str, int | None]]:
-        if not self.merges:
-            return self.viterbi(segment)
-        return ((p, self.vocabulary.get(p, (0.0, None))[1]) for p in self.merged(segment))
-
-    def _segment(self, segment: str) -> bytes:
-        if not self.merges and len(segment) < 2 * self.longest:
-            known = self._short(segment)
-            if known is not None:
-                return struct.pack(f"<{len(known)}i", *known)
+    def _agree(self, left: int, right: int) -> bool:
+        """Whether the pieces, merged alone, stay as they are."""
+        pair = [self._string(i) for i in (left, right) if i != _START]
+        found = self.merged("".join(pair)) == pair
+        if len(self.agreeing) >= CACHE_PAIRS:
+            self.agreeing.clear()
+        self.agreeing[left << self.shift | right] = found
+        return found
+
+    def _string(self, code: int) -> str:
+        """The string of a piece; a character that no piece has goes by its code point behind them."""
+        return self.pieces[code] if code < len(self.pieces) else chr(code - len(self.pieces))
+
+    def viterbi(self, text: str) -> Iterator[tuple[int, int, int | None]]:
+        """The pieces of the best path over ``text``: start, end, id (None: spell it in bytes).
+
+        Kept is only the window since the last committed boundary (see the module). Where the last
+        ``longest`` boundaries don't yet lead back to one, the window grows until they do. For
+        scores, of equal paths the longer last piece wins.
+        """
+        merges, known, agree, shift = self.merges, self.agreeing.get, self._agree, self.shift
+        base, check = 0, 2 * self.longest
+        best: list = [_START if merges else 0.0]  # of each boundary: code of the last piece, or score
+        back: list[tuple[int, int | None]] = [(0, None)]  # of the last piece: start (in the window), id
+        for last, (length, piece, score) in self.lattice.iter(text):
+            end = last + 1 - base
+            if end >= len(best):
+                while len(best) < end:
+                    self._alone(text[base + len(best) - 1], best, back)
+                if end > check:
+                    meet = self._meeting(best, back)
+                    if meet:
+                        yield from self._path(base, back, meet)
+                        lift = 0 if merges else best[meet]
+                        best = [x - lift for x in best[meet:]]
+                        back = [(max(0, a - meet), i) for a, i in back[meet:]]
+                        base += meet
+                        end -= meet
+                    check = 2 * max(self.longest, end)
+                if not merges:
+                    self._alone(text[last], best, back)
+            elif merges:
+                continue  # the boundary has its path
+            start = end - length
+            if start < 0:
+                continue
+            if merges:
+                left = best[start]
+                ok = known(left << shift | piece)
+                if ok or (ok is None and agree(left, piece)):
+                    best.append(piece)
+                    back.append((start, piece))
+            elif (x := best[start] + score) > best[end] or (x == best[end] and back[end][1] is None):
+                best[end], back[end] = x, (start, piece)
+        while base + len(best) <= len(text):
+            self._alone(text[base + len(best) - 1], best, back)
+        yield from self._path(base, back, len(text) - base)
+
+    def _alone(self, character: str, best: list, back: list) -> None:
+        """The next boundary, reached by a character that no piece has."""
+        if self.merges:
+            best.append(len(self.pieces) + ord(character))
+        else:
+            best.append(-np.inf if character in self.vocabulary else best[-1] + self.unknown_score)
+        back.append((len(back) - 1, None))
+
+    def _meeting(self, best: list, back: list) -> int:
+        """The boundary that all paths from the last ``longest`` ones lead back to."""
+        alive = {j for j in range(max(0, len(best) - self.longest), len(best)) if best[j] != -np.inf}
+        while len(alive) > 1:
+            last = max(alive)
+            alive.discard(last)
+            alive.add(back[last][0])
+        return alive.pop()
+
+    @staticmethod
+    def _path(base: int, back: list, to: int) -> list[tuple[int, int, int | None]]:
+        out = []
+        while to:
+            start, piece = back[to]
+            out.append((base + start, base + to, piece))
+            to = start
+        out.reverse()
+        return out
+
+    def _ids(self, window: str) -> bytes:
         ids: list[int] = []
-        for piece, i in self._pieces(segment):
+        for start, end, i in self.viterbi(window):
             if i is not None:
                 ids.append(i)
             elif self.byte_id:
+                piece = window[start:end]
                 ids += [self.byte_id[b] for b in (SPACE if piece == _LITERAL else piece).encode()]
             else:
                 ids.append(self.unknown_id)
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian 32-bit integers."""
+        """Ids of a text as little-endian 32-bit integers.
+
+        All paths meet where no piece crosses, so the search commits there and starts anew; what it
+        gives for a committed window depends on the window alone, and that of short ones is kept."""
         text = self.normalize(text)
-        if not self.segments:
-            return self._segment(text)
-        return b"".join(map(self.cache.__getitem__, _SEGMENT.findall(text)))
+        if not self.windows:
+            return self._ids(text)
+        return b"".join(map(self.cache.__getitem__, _WINDOW.findall(text)))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; exact for what ``encode`` gives."""
@@ -280,6 +271,7 @@ class PieceModel:
         return self._bytes
 
 
+#: Models of this worker while a task runs.
 _MODELS: dict[str, PieceModel] = {}
 
 
@@ -289,12 +281,18 @@ def piece_model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+def _forget_models() -> None:
+    """For the end of a task: its worker lives on, for tasks of other operators too."""
+    _MODELS.clear()
+    trim_memory()
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """``docs`` with ids (binary, little-endian 32-bit) of each text.
 
     Null or empty text: no ids. Repeated rows are encoded each. Other columns come through, but for
     one named ids, which is replaced. An empty table stays empty. Texts of any length: memory is the
-    text, its ids and the parts of its longest segment. For a BPE model the ids are SentencePiece's,
+    text, its ids and the window of the search. For a BPE model the ids are SentencePiece's,
     but for a SPACE character in the text: it is spelled in bytes, so that decoding gives it back.
     """
     docs = docs.drop("ids")
@@ -306,7 +304,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         for batch in sliced(batches):
             ids = [pieces.encode(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*own, "ids"])
+        del pieces
+        _forget_models()
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 
@@ -321,5 +322,8 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for batch in sliced(batches, "ids"):
             text = [pieces.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*own, "decoded"])
+        del pieces
+        _forget_models()
 
+    bound_batches(encoded.sparkSession)
     return encoded.mapInArrow(run, schema)
