@@ -6,9 +6,10 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,34 @@ WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that Spark hands to a Python worker. Spark's own 64 MB are held several
+#: times over by each task: in the JVM's direct memory, in the worker and in what it makes of them.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES, where they are larger. The setting counts
+    when a plan runs, so it has to outlast the call of an operator: results are lazy."""
+    found = re.fullmatch(r"(-?\d+)([bkmg]?)b?", str(spark.conf.get(_BATCH_SETTING)).lower())
+    unit = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    size = int(found[1]) * unit[found[2]] if found else -1
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Names for internal columns that no column in ``taken`` has (in any case)."""
+    held, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,15 +71,27 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.gettempdir()
         self.root = f"{base.rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+        bound_batches(spark)
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self.root}/{name}")
+        with self._shuffles_end():
+            writer.parquet(f"{self.root}/{name}")
         return self.read(name, df.schema)
 
+    @contextlib.contextmanager
+    def _shuffles_end(self) -> Iterator[None]:
+        """Shuffle files of a write are of no use after it: Spark deletes them when it ends."""
+        before = self.spark.conf.get(_CLEANUP_SETTING, "false")
+        self.spark.conf.set(_CLEANUP_SETTING, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_CLEANUP_SETTING, before)
+
     def read(self, name: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(f"{self.root}/{name}")

@@ -13,7 +13,7 @@ Lists generate overlaps in three ways, so that a large list costs a multiple of
 1. every member with the list's smallest member, the pair that shares most lists first;
 2. members of different components so far, where a list's cross pairs are few;
 3. of the rest, a member with fewer than SAFE such crowded lists has other lists with any partner
-   (two similar sets share fewer than SAFE triples about as rarely as none); members with more
+   (two similar sets share fewer than SAFE triples with probability 1.4e-8); members with more
    are compared by the rarest fifth of their full sets, which an exact argument says must meet.
 Pairs are filtered by size and by the estimate of the union's sketch, then verified on full sets.
 """
@@ -31,6 +31,8 @@ from quarry.llm.common import Scratch, Words, mix, sliced
 from quarry.llm.components import components
 
 K = 64
+#: K, the triples and LEAST_SHARED are made for similarities of at least so many hundredths.
+LEAST_PERCENT = 80
 #: Of the K smallest of a union at least so many must be in both; at 0.8, fewer come with chance 1e-9.
 LEAST_SHARED = 28
 CROWDED = 100
@@ -152,9 +154,7 @@ class NearDuplicates:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.step += 1
-        out = self.scratch.write(df, f"{name}_{self.step}")
-        self.spark.sparkContext._jvm.System.gc()  # lets go of the shuffles that made it
-        return out
+        return self.scratch.write(df, f"{name}_{self.step}")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id of each row of docs with a doc_id."""
@@ -265,9 +265,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text) that has a doc_id.
 
     Two documents are linked when their sets of ``size``-word shingles (A-Z lower-cased) have a
-    Jaccard similarity of ``percent`` or more; a component is named by its smallest doc_id. With
+    Jaccard similarity of ``percent`` (80 to 100; the sketches are made for no less, so other values
+    raise ValueError) or more; a component is named by its smallest doc_id. With
     fewer words than ``size`` the whole sequence is one shingle; null or empty texts have none and
     are linked with nothing. Rows that repeat a doc_id are one node, with the links of all their
     texts. Rows without doc_id and other columns are left out. An empty table gives no rows.
     """
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
     return NearDuplicates(docs.select("doc_id", "text"), size, percent).run()

@@ -183,36 +183,52 @@ def test_sum_of_squares_takes_the_least():
                 cost[h] = int((after[1:20] ** 2).sum())
         p.add((k, 0, length))
         assert int((p.levels[1:20] ** 2).sum()) == min(cost.values())
-    p.flush(end=True)
+    p.finish()
     assert all(a == b for a, b in out)
 
 
+def brute_path(m, t):
+    best, back = [0.0] + [-np.inf] * len(t), [None] * (len(t) + 1)
+    for e in range(1, len(t) + 1):
+        for s in range(max(0, e - m.longest), e):
+            f = m.vocabulary.get(t[s:e])
+            if f and best[s] + f[0] > best[e]:
+                best[e], back[e] = best[s] + f[0], (s, f[1])
+        if t[e - 1] not in m.vocabulary and best[e - 1] + m.unknown_score > best[e]:
+            best[e], back[e] = best[e - 1] + m.unknown_score, (e - 1, None)
+    out, e = [], len(t)
+    while e:
+        s, i = back[e]
+        out.append((s, e, i))
+        e = s
+    return out[::-1]
+
+
+def test_viterbi_of_scores_on_whole_texts():
+    m = pieces.PieceModel(SP)
+    m.merges = False  # the same pieces, read as a unigram model
+    for _, t in [*corpus(7), (0, "x" * 3000 + "ab=" * 900)]:
+        x = m.normalize(t or "")
+        assert list(m.viterbi(x)) == brute_path(m, x)
+
+
+def test_viterbi_commits_early(monkeypatch):
+    m, held = pieces.PieceModel(SP), []
+    meeting = m._meeting
+    monkeypatch.setattr(m, "_meeting", lambda best, back: held.append(len(best)) or meeting(best, back))
+    rng = random.Random(16)
+    text = "".join(rng.choices("etaoinshrdlu", [9, 9, 8, 8, 7, 7, 6, 6, 5, 4, 3, 2], k=5_000_000))
+    ids = m.encode(text)  # 5 MB without a space
+    assert len(held) > 100_000 and max(held) <= 16 * m.longest
+    assert m.decode(ids) == text
+
+
 def test_sentencepiece(spark):
-    m = pieces.piece_model(SP)
-
-    def brute(t):
-        best, back = [0.0] + [-np.inf] * len(t), [None] * (len(t) + 1)
-        for e in range(1, len(t) + 1):
-            for s in range(max(0, e - m.longest), e):
-                f = m.vocabulary.get(t[s:e])
-                if f and best[s] + f[0] > best[e]:
-                    best[e], back[e] = best[s] + f[0], (s, f[1])
-            if t[e - 1] not in m.vocabulary and best[e - 1] + m.unknown_score > best[e]:
-                best[e], back[e] = best[e - 1] + m.unknown_score, (e - 1, None)
-        out, e = [], len(t)
-        while e:
-            s, i = back[e]
-            out.append((t[s:e], i))
-            e = s
-        return out[::-1]
-
-    for _, t in corpus(7):
-        x = m.normalize((t or "")[:800])
-        assert list(m.viterbi(x)) == brute(x)
-        assert m._segment(x) == m.encode((t or "")[:800])
     rows = corpus(7)
     out = pieces.decode(pieces.encode(frame(spark, rows), SP), SP)
     assert Counter((r["doc_id"], r["decoded"]) for r in out.collect()) == Counter((i, t or "") for i, t in rows)
+    empty = pieces.decode(pieces.encode(frame(spark, []), SP), SP)
+    assert empty.count() == 0
 
 
 def test_sentencepiece_gives_the_models_ids():
@@ -221,11 +237,12 @@ def test_sentencepiece_gives_the_models_ids():
     texts = [t.replace("▁", "_") for _, t in corpus(7) if t]
     texts += ["the", "  the  other   ", " ", "\x00 \n\t<s> <0x41> </s>", "the" * 400, "a" * 777, "=" * 500 + "ab" * 99, "".join(rng.choices("aetho nsi-", k=5000)), "".join(rng.choices("aethonsi漢é", k=3000))]
     texts += ["".join(rng.choices("etaoinshr", k=rng.randrange(1, 130))) for _ in range(300)]
+    texts += ["".join(rng.choices("aab=-  ..", k=rng.randrange(1, 200))) for _ in range(300)]
     for t in texts:
         assert np.frombuffer(m.encode(t), "<i4").tolist() == sp.encode(t)
         assert m.decode(m.encode(t)) == t
-        for w in t.split(" ")[:50]:
-            assert m.merged(w) == m._merged_by_heap(w)
+        x = m.normalize(t)
+        assert b"".join(m._ids(w) for w in [x]) == m.encode(t)  # whole texts, not cut at spaces
 
 
 def test_chat(spark):
