@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD_SEPARATORS, Scratch, shuffle_partitions
+from quarry.llm.common import WORD_SEPARATORS, Scratch, fresh, shuffle_partitions
 
 KEYS = ["h1", "h2"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,20 +111,23 @@ def dedupe_lines(docs: DataFrame, least: int = 10, batches: int = 4) -> DataFram
     places = scratch.write(places.withColumn("batch", batch), "places", partition_by="batch")
     index = LineRuns(spark, scratch)
     gone = None
-    for b in range(len(cuts) + 1):
-        out = scratch.write(index.add(places.where(F.col("batch") == b).drop("batch")), f"gone_{b}")
-        gone = out if gone is None else gone.unionByName(out)
-    index.close()
+    try:
+        for b in range(len(cuts) + 1):
+            out = scratch.write(index.add(places.where(F.col("batch") == b).drop("batch")), f"gone_{b}")
+            gone = out if gone is None else gone.unionByName(out)
+    finally:
+        index.close()
     scratch.drop("places", *[f"known_{i}" for i in range(2 * len(cuts) + 2)])
-    lost = gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("at").alias("_lost"))
-    joined = docs.join(lost, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
+    id_, row, lost = fresh(docs.columns, "id", "row", "lost")
+    gone = gone.groupBy(F.col("doc_id").alias(id_), F.col("row").alias(row)).agg(F.collect_set("at").alias(lost))
+    joined = docs.join(gone, (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(row)), "left")
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n")
 
     def keep(lines: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
         return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
 
-    kept = F.when(F.col("_lost").isNull(), text).otherwise(F.get(F.transform(F.array(lines), keep), F.lit(0)))
+    kept = F.when(F.col(lost).isNull(), text).otherwise(F.get(F.transform(F.array(lines), keep), F.lit(0)))
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return joined.withColumns({"kept": kept, "n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("_lost"), F.lit(0)).cast("long")}).drop("_id", "_row", "_lost")
+    return joined.withColumns({"kept": kept, "n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size(lost), F.lit(0)).cast("long")}).drop(id_, row, lost)
