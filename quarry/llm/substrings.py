@@ -13,7 +13,7 @@ packed string and are joined to its occurrences, which Spark can split when they
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, mix, segment_sums, shuffle_partitions, sliced, trim_memory
+from quarry.llm.common import Words, bound_batches, fresh, mix, segment_sums, shuffle_partitions, sliced, trim_memory
 
 SEED = 6
-#: Runs of SEED words that make up more than 1 / HOT of the corpus are put last; so they are fewer than HOT.
-HOT = 4096
+#: Runs of SEED words that make up more than 1 / HOT of the corpus are put last; so they are fewer than
+#: HOT. With many buckets it is HOT_BUCKETS times their number: no other seed fills much of a bucket.
+HOT, HOT_BUCKETS = 4096, 4
 #: Windows in one packed string at most.
 LONGEST = 512
 #: Parts of a shuffle partition that are counted one after the other.
@@ -99,11 +100,11 @@ class SuperKmers:
         return [data[a:b] for a, b in zip(offsets[self.first].tolist(), (offsets[self.first + self.count + length - 1] - 1).tolist(), strict=True)]
 
 
-def heavy_seeds(docs: DataFrame, length: int) -> np.ndarray:
-    """Hashes of the runs of SEED words that are more than 1 / HOT of all runs (fewer than HOT).
+def heavy_seeds(docs: DataFrame, share: int = HOT) -> np.ndarray:
+    """Hashes of the runs of SEED words that are more than 1 / share of all runs (fewer than share).
 
     Each task counts all runs of its texts and passes on, slice by slice, those that make up
-    1 / (4 * HOT) of what it has seen; the sums of these are too low by a quarter of the threshold at
+    1 / (4 * share) of what it has seen; the sums of these are too low by a quarter of the threshold at
     most. The list only decides where windows are compared, never the result.
     """
 
@@ -120,15 +121,15 @@ def heavy_seeds(docs: DataFrame, length: int) -> np.ndarray:
             merged = np.concatenate([kept, new[many]])
             kept, back = np.unique(merged, return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, n[many]]), len(kept)).astype(np.int64)
-            strong = counts * (4 * HOT) >= seen
+            strong = counts * (4 * share) >= seen
             kept, counts = kept[strong], counts[strong]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept.view(np.int64), 0)), pa.array(np.append(counts, 0)), pa.array(np.append(np.zeros(len(kept), np.int64), seen))], names=["x", "n", "seen"])
 
     found = docs.select("text").mapInArrow(run, "x long, n long, seen long").groupBy("x").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
-    # the row of x = 0 has the total; the others over the threshold are fewer than HOT
-    rows = found.orderBy(F.desc("seen"), F.desc("n")).limit(HOT + 1).collect()
+    # the row of x = 0 has the total; the others over the threshold are fewer than the share
+    rows = found.orderBy(F.desc("seen"), F.desc("n")).limit(share + 1).collect()
     total = sum(r["seen"] for r in rows)
-    return np.sort(np.array([r["x"] for r in rows if r["n"] * HOT > total], np.int64).view(np.uint64))
+    return np.sort(np.array([r["x"] for r in rows if r["n"] * share > total], np.int64).view(np.uint64))
 
 
 class Buckets:
@@ -225,11 +226,17 @@ def shared_windows(strings: list[bytes], low: np.ndarray, high: np.ndarray, leng
         yield int(string[a]), a - int(begin[string[a]]), n, int(first[a])
 
 
+def fingerprints(strings: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each string, in two columns."""
+    data = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), ">i8").reshape(-1, 2).astype(np.int64)
+    return data[:, 0], data[:, 1]
+
+
 def _count(length: int, most: int = 8 << 20):
     """Of the blobs of a partition, sorted by bucket: which windows of which strings are shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["minimiser", "fp", "skip", "n", "first"]
+        names = ["f1", "f2", "skip", "n", "first"]
 
         def settle(merged: dict[bytes, list]) -> Iterator[pa.RecordBatch]:
             holders: dict[int, int] = {}
@@ -241,7 +248,7 @@ def _count(length: int, most: int = 8 << 20):
                 if holders[value] > 1:
                     several.append((value, s, low, high))
                 elif low != high:
-                    rows.append((value, s, 0, s.count(b" ") + 2 - length, low))
+                    rows.append((s, 0, s.count(b" ") + 2 - length, low))
             several.sort(key=lambda x: x[0])
             a = 0
             while a < len(several):  # whole minimisers, up to `most` bytes of strings
@@ -251,14 +258,11 @@ def _count(length: int, most: int = 8 << 20):
                     b += 1
                 part = several[a:b]
                 for k, skip, n, first in shared_windows([x[1] for x in part], np.array([x[2] for x in part]), np.array([x[3] for x in part]), length):
-                    rows.append((part[k][0], part[k][1], skip, n, first))
+                    rows.append((part[k][1], skip, n, first))
                 a = b
             if rows:
-                value, strings, *rest = zip(*rows, strict=True)
-                fps = [xxhash.xxh3_64_intdigest(s) for s in strings]
-                if len(set(zip(value, fps, strict=True))) != len(set(zip(value, strings, strict=True))):
-                    raise ValueError("two strings of one minimiser have one fingerprint; change the hash")
-                columns = [np.array(value, np.uint64).view(np.int64), np.array(fps, np.uint64).view(np.int64), *(np.array(r, np.int64) for r in rest)]
+                strings, *rest = zip(*rows, strict=True)
+                columns = [*fingerprints(strings), *(np.array(r, np.int64) for r in rest)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
         bucket, merged = None, {}
@@ -285,8 +289,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     document with a smaller doc_id; row is a hash of the text. Documents without any are left out."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
+    bound_batches(spark)
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    hot = heavy_seeds(docs, length)
+    hot = heavy_seeds(docs, max(HOT, HOT_BUCKETS * n * PARTS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, most=SLICE):
@@ -301,16 +306,15 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         for batch in sliced(batches, most=SLICE):
             words = Words(batch.column("text"))
             found = SuperKmers(words, length, hot)
-            fps = np.array([xxhash.xxh3_64_intdigest(s) for s in found.strings(words, length)], np.uint64)
-            columns = [found.minimiser.view(np.int64), fps.view(np.int64), batch.column("doc_id").to_numpy()[found.text], batch.column("row").to_numpy()[found.text], (found.first - words.first[found.text]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["minimiser", "fp", "doc_id", "row", "at"])
+            columns = [*fingerprints(found.strings(words, length)), batch.column("doc_id").to_numpy()[found.text], batch.column("row").to_numpy()[found.text], (found.first - words.first[found.text]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["f1", "f2", "doc_id", "row", "at"])
         trim_memory()
 
     blobs = docs.mapInArrow(send, "bucket int, blob binary")
     blobs = blobs.repartitionById(n, (F.col("bucket") / PARTS).cast("int")).sortWithinPartitions("bucket")
-    shared = blobs.mapInArrow(_count(length), "minimiser long, fp long, skip long, n long, first long")
-    places = docs.withColumn("row", F.xxhash64("text")).mapInArrow(place, "minimiser long, fp long, doc_id long, row long, at int")
-    gone = places.join(shared, ["minimiser", "fp"]).where(F.col("doc_id") > F.col("first"))
+    shared = blobs.mapInArrow(_count(length), "f1 long, f2 long, skip long, n long, first long")
+    places = docs.withColumn("row", F.xxhash64("text")).mapInArrow(place, "f1 long, f2 long, doc_id long, row long, at int")
+    gone = places.join(shared, ["f1", "f2"]).where(F.col("doc_id") > F.col("first"))
     start = F.col("at") + F.col("skip")
     span = F.struct(start.cast("int").alias("a"), (start + F.col("n") + length - 1).cast("int").alias("b"))
     return gone.groupBy("doc_id", "row").agg(F.collect_list(span).alias("spans"))
@@ -327,15 +331,16 @@ def dedupe_windows(docs: DataFrame, length: int = 50, keep_layout: bool = False)
     columns come through, but for those that are added. An empty table stays empty.
     """
     docs = docs.drop("kept", "n_words", "n_removed")
-    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left").drop("_id", "_row")
-    own = [c for c in docs.columns]
+    own = docs.columns
+    id_, row, lost = fresh(own, "id", "row", "spans")
+    spans = repeated_spans(docs, length).select(F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("spans").alias(lost))
+    joined = docs.join(spans, (F.col("doc_id") == F.col(id_)) & (F.xxhash64("text") == F.col(row)), "left").drop(id_, row)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["kept string", "n_words long", "n_removed long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, most=SLICE):
             words = Words(batch.column("text"))
-            spans = batch.column("_spans")
+            spans = batch.column(lost)
             keep = np.ones(len(words), bool)
             touched = spans.is_valid().to_numpy(zero_copy_only=False)
             lists = spans.to_pylist() if touched.any() else []
@@ -355,4 +360,4 @@ def dedupe_windows(docs: DataFrame, length: int = 50, keep_layout: bool = False)
             yield pa.RecordBatch.from_arrays(columns, names=[*own, "kept", "n_words", "n_removed"])
         trim_memory()
 
-    return joined.select(*own, "_spans").mapInArrow(run, schema)
+    return joined.select(*own, lost).mapInArrow(run, schema)
