@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, crc_remainder, mix, sliced, trim_memory
+from quarry.llm.common import Words, bound_batches, crc_remainder, mix, sliced, trim_memory
 from quarry.llm.neardup import shingle_sets
 
 TOKEN = re.compile(r"\w+")
@@ -30,10 +30,13 @@ PRIOR = 5.0
 PENALTY = 0.1
 LEAST_DOCS = 3
 LEAST_SCORE, LEAST_Z = 1.5, 3.0
-#: Bounds of what the driver and each worker hold: labelled rows to learn from, tokens of the model.
+#: Labelled rows to learn from. They bound the tokens that the driver and each worker hold too: only
+#: those found in LEAST_DOCS toxic ones, with LEAST_SCORE and LEAST_Z, are.
 MOST_LABELLED = 200_000
-MOST_TOKENS = 100_000
 CACHE_TOKENS = 200_000
+#: Labelled rows are copies when all minimal hashes of a band agree: with sets of 3-word shingles of
+#: similarity 0.9 with probability 0.95, of 0.5 with 0.06.
+BANDS, BAND = 4, 6
 BIN = 0.25
 LIMIT = 400.0
 
@@ -118,28 +121,31 @@ def labelled(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | Non
     ``held_out`` (modulus, remainder of crc32(doc_id)) rows are never read. ``part`` 0 teaches token
     scores, part 1 the calibration. Null labels, and doc_ids with several labels, are left out.
     """
-    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    bound_batches(docs.sparkSession)
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic")
     if held_out:
         rows = rows.where(crc_remainder("doc_id", held_out[0]) != held_out[1])
-    rows = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("toxic").alias("_toxic"), F.max("toxic").alias("_most")).where("_toxic = _most")
-    chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_id", "_toxic", (F.pmod(F.xxhash64(F.lit(3), "_id"), F.lit(3)) == 0).cast("int").alias("part"))
+    rows = rows.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"), (F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) == 0).cast("int").alias("part"))
     # at most `most` rows of 16 bytes, whatever the tables hold
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("_id", "text", F.col("_toxic").cast("int").alias("toxic"), "part")
-    # copies of a document would each repeat its chance words: of those that share one of two
-    # minimal shingle hashes only the first stays
-    marks = rows.select("_id", "text").mapInArrow(_marks, "id long, m1 long, m2 long")
-    first = marks.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"m{i}").alias("m")) for i in (1, 2)])).alias("x"), "id").groupBy("x").agg(F.min("id").alias("id"))
-    kept = first.groupBy("id").count().where("count = 2").select(F.col("id").alias("_kept"))
-    return rows.join(F.broadcast(kept), F.col("_id") == F.col("_kept")).select("text", "toxic", "part")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic", "part")
+    # copies of a document would each repeat its chance words: only the first stays
+    marks = rows.select("id", "text").mapInArrow(_marks, "id long, " + ", ".join(f"b{i} long" for i in range(BANDS)))
+    first = marks.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("b")) for i in range(BANDS)])).alias("x"), "id").groupBy("x").agg(F.min("id").alias("id"))
+    kept = first.groupBy("id").count().where(F.col("count") == BANDS).select("id")
+    return rows.join(F.broadcast(kept), "id").select("text", "toxic", "part")
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bands of minimal hashes of each row; texts without words have all the same."""
     for batch in sliced(batches):
-        least: list[list[int]] = [[], []]
-        for s in shingle_sets(Words(batch.column("text"), lower=True), 3):
-            for out, seed in zip(least, (11, 12), strict=True):
-                out.append(int(mix(s, seed).min().view(np.int64)) if len(s) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in least)], names=["id", "m1", "m2"])
+        bands = np.zeros((BANDS, batch.num_rows), np.uint64)
+        for row, s in enumerate(shingle_sets(Words(batch.column("text"), lower=True), 3)):
+            for k in range(BANDS * BAND if len(s) else 0):
+                at = k // BAND
+                bands[at, row] = mix(bands[at, row : row + 1] + mix(s, 11 + k).min())[0]
+        yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), *(pa.array(b.view(np.int64)) for b in bands)], names=["id", *(f"b{i}" for i in range(BANDS))])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +177,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     have = counts[t] = [0, 0, 0, 0]
                 have[at] += 1
                 have[at + 2] += n
-        if len(counts) > 300_000:
+        if len(counts) > 150_000:
             yield out()
     if counts:
         yield out()
@@ -193,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (
     odds = F.log(ratio) - math.log(top["d1"] / top["d0"])
     deviation = F.sqrt(1 / (F.col("d1") + PRIOR * share) + 1 / (F.col("d0") + PRIOR * (1 - share)))
     table = counts.where("token <> ''").withColumn("odds", odds).withColumn("z", odds / deviation).where((F.col("odds") >= LEAST_SCORE) & (F.col("z") >= LEAST_Z))
-    found = table.orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
+    found = table.orderBy(F.desc("z"), "token").collect()
     counts.unpersist()
     model.scores = {r["token"]: r["odds"] for r in found}
     # frequencies over other documents of the scores of tokens; unseen ones cost the penalty
@@ -287,6 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null or empty text: no tokens, the score of a text without evidence. Repeated rows are scored
     each. Other columns come through, but for those that are added. An empty table stays empty.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("toxicity", "passages")
     own = docs.columns
