@@ -2,6 +2,7 @@
 repeated rows, empty tables, extra columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -313,8 +314,6 @@ def test_toxicity(spark):
 
 
 def test_scoring(spark):
-    import math
-
     rows = corpus(11)
     out = scoring.score(frame(spark, rows), F.col("doc_id") % 5 != 1, BPE).collect()
     tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), "\n"]
@@ -363,20 +362,30 @@ def test_attention_learns_from_whole_texts(spark):
         assert not np.array_equal(weights["embed"], learned[0][0]["embed"])
 
 
+def brute_top_k(rows, k, step):
+    data = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v))]
+    out = Counter()
+    for i, v in {(i, tuple(v)) for i, v in data if i % step == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in data if j != i and len(w) == len(v))
+        out.update((i, rank + 1, j, -s) for rank, (s, j) in enumerate(best[:k]))
+    return out
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = [rng.normal(size=6).tolist() for _ in range(120)]
     rows: list = [(i, v) for i, v in enumerate(x)] + [(200 + i, x[3]) for i in range(30)] + [(300, None), (301, [None] * 6), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (None, x[0]), (304, []), (320, [0.5])]
-    q = covertree.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in covertree.top_k(q, 5, F.col("vec_id") % 10 == 0).collect()}
-    data = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()}
-    expected = {}
-    for i in data:
-        if i % 10 == 0:
-            best = sorted((-int(data[i] @ data[j]), j) for j in data if j != i and len(data[j]) == len(data[i]))
-            expected |= {(i, k + 1): (j, -s) for k, (s, j) in enumerate(best[:5])}
-    assert got == expected
+    # rows that repeat, one id with two vectors, products beyond doubles and beyond 64-bit keys
+    rows += [(7, x[7]), (7, x[7]), (10, x[10]), (7, x[8]), (400, [1e7] * 6), (401, [1e7] * 5 + [0.9e7]), (402, [1e7, -1e7, 1e7, 0.5, 1.0, 2.0]), (403, [2.0**24, 0.0, 0.0, 0.0, 0.0, 1 / 64]), (410, [1 / 64, 0.0, 0.0, 0.0, 0.0, 2.0**24])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"cell": F.lit(1), "vec": F.lit("x"), "copies": F.lit(5)})
+    q = covertree.quantized(frame)
+    got = Counter(tuple(r) for r in covertree.top_k(q, 5, F.col("vec_id") % 10 == 0).collect())
+    assert got == brute_top_k(rows, 5, 10)
     assert covertree.top_k(q.limit(0), 5, F.col("vec_id") % 10 == 0).count() == 0
+    too_large = covertree.quantized(spark.createDataFrame([(1, [1e300]), (2, [2.0**60]), (10, [2.0**50])], "vec_id long, embedding array<double>"))
+    assert [tuple(r) for r in covertree.top_k(too_large, 5, F.col("vec_id") == 10).collect()] == []
+    two = covertree.quantized(spark.createDataFrame([(2, [2.0**50]), (3, [2.0**49]), (10, [2.0**50])], "vec_id long, embedding array<double>"))
+    assert [r["score"] for r in covertree.top_k(two, 5, F.col("vec_id") == 10).collect()] == [2**63 - 1] * 2
 
 
 def test_pipeline(spark, tmp_path):
