@@ -1,16 +1,21 @@
 """Scores of texts under a unigram base and under a causal self-attention model of subword ids.
 
 The model reads a text as the ids of its lower-cased words (each with a space in front) and an end
-id. Ids fall into classes: the most frequent ids are classes of their own, the others share classes
-of equal mass; P(id) = P(class | context) * P(id | class, id before). The logits of the next class
-are those of its counts after the id before, over all training documents, plus what one head of
-self-attention over the last ids adds; P(id | class, id before) comes from the same counts. The
-attention is trained in numpy: each task goes over all training documents it reads, cut into
-successive windows that cover them whole, a slice of texts at a time, all from one start, and the
-tasks' weights are averaged. A text is scored in blocks of BLOCK ids, each attending to itself and the block before: windows of 2 * BLOCK
-that overlap by half, in which every id is scored once. A word's probability is MEMORY times its
-share of all training words plus 1 - MEMORY times that of its ids, so that known words are not lost
-between the ids that spell them and new words are spelled.
+id; every id of the tokenizer counts. Ids are clustered by what stands around them, into FINE classes
+that the model reads and COARSE ones that it predicts:
+
+    P(id | ids before) = P(coarse class | context) * P(id | coarse class, fine class before)
+
+The second factor and a prior of the first, P(coarse class | the two fine classes before), are
+smoothed counts over all training documents. One head of causal self-attention over the last ids adds
+its logits to the prior's. It is trained in numpy on all windows of all training documents, by shards
+of about SHARD_IDS ids that a hash of the document chooses; a shard goes through its documents in an
+order that their contents give, and the shards' weights are averaged in whole numbers. So the model
+depends on the documents and not on how they are partitioned. All of its tables have a fixed size,
+whatever the corpus: FINE * FINE * COARSE and FINE times the vocabulary.
+
+A text is scored in blocks of BLOCK ids, each attending to itself and the block before: windows of
+2 * BLOCK that overlap by half, in which every id is scored once.
 """
 
 from __future__ import annotations
@@ -26,268 +31,433 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, Words, sliced
-from quarry.llm.packing import byte_bpe
+from quarry.llm.common import Scratch, Words, sliced, text_bytes, trim_memory
+from quarry.llm.packing import byte_bpe, forget_encoders
 
 #: The end of a text among its words; no word holds it.
 END = "\n"
-SINGLES, SHARED = 160, 32
-CLASSES = SINGLES + SHARED
-WIDTH, BLOCK = 16, 32
-#: Ids with counts of their own after and before others; the rest share one place.
-ACTIVE = 3072
-#: Weight of a word's share of all training words beside that of its spelling.
-MEMORY = 0.5
+FINE, COARSE = 256, 64
+#: Ids that are classes of their own, the most frequent ones; as many clusters hold the others.
+FINE_SINGLES, COARSE_SINGLES = 128, 32
+WIDTH, BLOCK = 16, 16
+SPAN = 2 * BLOCK
+#: What an id is clustered by: the BANDS - 1 most frequent ids, and the others, at these distances.
+BANDS, DISTANCES = 48, (1, -1, 6)
+CLUSTER_ROUNDS, CLUSTER_PRIOR = 15, 20.0
+PAIR_PRIOR, CLASS_PRIOR, WITHIN_PRIOR, ID_PRIOR = 5.0, 8.0, 4.0, 0.05
+#: log10 P(id | coarse class, fine class before) is held in 16 bits, in steps of 1 / STEPS.
+STEPS = 2048
+SHARD_IDS, BUFFER, BATCH, RATE = 4_000_000, 4096, 64, 0.01
+FIXED_POINT = 1 << 12
 #: Words whose counts every worker holds; the others' are joined.
-HEAD = 1 << 18
-CACHE_WORDS = 400_000
-BATCH, EPOCHS, RATE = 32, 2, 0.004
-PAIR_PRIOR, WITHIN_PRIOR = 5.0, 4.0
+HEAD = 1 << 17
+CACHE_WORDS = 100_000
+SLICE = 1 << 20
 
 
-@dataclass
-class Ids:
-    """Ids of a byte-level tokenizer by rank of their counts.
+def coded(docs: DataFrame, tokenizer: str, end: int, id_type: str) -> DataFrame:
+    """``docs`` with ids, those of the lower-cased words and ``end``, as binary of ``id_type``."""
+    own = docs.columns
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["ids binary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, cache = byte_bpe(tokenizer), {}
+        for batch in sliced(batches, most=SLICE):
+            words = Words(batch.column("text"), lower=True)
+            found = words.array().dictionary_encode()
+            codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = []
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+            for word in found.dictionary.to_pylist():
+                ids = cache.get(word)
+                if ids is None:
+                    ids = np.frombuffer(encode(" " + word), "<u4").astype(id_type)
+                    if len(word) < 64:
+                        cache[word] = ids
+                parts.append(ids)
+            n_texts = batch.num_rows
+            size = np.array([len(p) for p in parts], np.int64)
+            flat = np.concatenate(parts) if parts else np.zeros(0, id_type)
+            begin = np.cumsum(size) - size
+            text = np.repeat(np.arange(n_texts), np.diff(words.first))
+            lengths = size[codes]
+            before = np.cumsum(lengths) - lengths
+            place = np.arange(int(lengths.sum()))
+            each = np.bincount(text, lengths, n_texts).astype(np.int64) + 1
+            stream = np.full(int(each.sum()), end, id_type)
+            stream[place + np.repeat(text, lengths)] = flat[place + np.repeat(begin[codes] - before, lengths)]
+            offsets = np.concatenate([[0], np.cumsum(each)]) * stream.itemsize
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_texts, [None, pa.py_buffer(offsets), pa.py_buffer(stream)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*own, "ids"])
+        del encode, cache
+        forget_encoders()
+
+    return docs.mapInArrow(run, schema)
+
+
+class Streams:
+    """The ids of a slice's texts, one text after the other; ``one`` and ``two`` are the ids one and
+    two places before in the text, the end id in front of it."""
+
+    def __init__(self, column: pa.Array, id_type: str, end: int):
+        data, offsets = text_bytes(column.view(pa.string()))
+        self.ids = np.frombuffer(data.tobytes(), id_type).astype(np.int64)
+        self.start = offsets[:-1] // np.dtype(id_type).itemsize
+        self.length = np.diff(offsets) // np.dtype(id_type).itemsize
+        self.one = np.concatenate([[end], self.ids[:-1]])[: len(self.ids)]
+        self.one[self.start] = end
+        self.two = np.concatenate([[end], self.one[:-1]])[: len(self.ids)]
+        self.two[self.start] = end
 
-    ``rank`` of an id, ACTIVE - 1 for all beyond; ``class_of`` a rank; ``spread`` of an id: log10 of
-    its share of its rank; ``share`` of a rank among its class."""
 
-    tokenizer: str
+@dataclass
+class Classes:
+    """``fine`` and ``coarse`` class of each id, its count, and where to read ids."""
+
+    fine: np.ndarray
+    coarse: np.ndarray
+    counts: np.ndarray
+    id_type: str
     end: int
-    rank: np.ndarray
-    class_of: np.ndarray
-    spread: np.ndarray
-    share: np.ndarray
 
-    @classmethod
-    def of(cls, tokenizer: str, end: int, counts: np.ndarray) -> Ids:
-        mass = counts + 0.5
-        order = np.argsort(-mass, kind="stable")
-        rank = np.empty(len(counts), np.int64)
-        rank[order] = np.minimum(np.arange(len(order)), ACTIVE - 1)
-        of_rank = np.bincount(rank, mass, ACTIVE)
-        rest = of_rank[SINGLES:]
-        middle = np.cumsum(rest) - rest / 2
-        class_of = np.arange(ACTIVE)
-        class_of[SINGLES:] = SINGLES + np.minimum(SHARED - 1, (SHARED * middle / max(rest.sum(), 1)).astype(np.int64))
-        of_class = np.bincount(class_of, of_rank, CLASSES)
-        return cls(tokenizer, end, rank, class_of, np.log10(mass / of_rank[rank]), of_rank / of_class[class_of])
 
+def _sums(docs: DataFrame, count, id_type: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all ids of ``docs`` of the keys that ``count`` makes of a slice's ``Streams``: the
+    keys, ascending, and how often each came. Summed by task before the shuffle."""
 
-class Streams:
-    """The ranks of the ids of a slice's texts, one text after the other: pieces of words, then the
-    end. ``word_at``: where each word, or end, begins; ``spread``: the sum of its ids' spreads."""
-
-    def __init__(self, column: pa.Array, ids: Ids):
-        self.words = Words(column, lower=True)
-        coded = self.words.array().dictionary_encode()
-        self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.distinct = coded.dictionary
-        cache = ids.__dict__.setdefault("_words", {})  # not by id(): a later object can have the same
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        encode = byte_bpe(ids.tokenizer)
-        parts, spread = [], np.zeros(len(self.distinct))
-        for i, word in enumerate(self.distinct.to_pylist()):
-            have = cache.get(word)
-            if have is None:
-                x = np.frombuffer(encode(" " + word), "<u4")
-                have = (ids.rank[x].astype(np.uint16), float(ids.spread[x].sum()))
-                if len(word) < 64:
-                    cache[word] = have
-            parts.append(have[0])
-            spread[i] = have[1]
-        size = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-        begin = np.cumsum(size) - size
-        n_texts = len(self.words.first) - 1
-        text = np.repeat(np.arange(n_texts), np.diff(self.words.first))
-        lengths = size[self.codes]
-        total = int(lengths.sum())
-        before = np.cumsum(lengths) - lengths
-        place = np.arange(total)
-        pieces = flat[place + np.repeat(begin[self.codes] - before, lengths)]
-        self.length = np.bincount(text, lengths, n_texts).astype(np.int64) + 1
-        self.start = np.cumsum(self.length) - self.length
-        self.stream = np.full(int(self.length.sum()), ids.rank[ids.end], np.uint16)
-        self.stream[place + np.repeat(text, lengths)] = pieces
-        # units: the words of a text, then its end
-        n_words = np.diff(self.words.first)
-        self.end_unit = np.cumsum(n_words + 1) - 1
-        self.word_unit = np.arange(len(text)) + text
-        self.word_at = np.empty(len(text) + n_texts, np.int64)
-        self.word_at[self.word_unit] = before + text
-        self.word_at[self.end_unit] = self.start + self.length - 1
-        self.spread = np.full(len(self.word_at), ids.spread[ids.end])
-        self.spread[self.word_unit] = spread[self.codes]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[np.ndarray] = []
+        size = 0
+
+        def merge() -> None:
+            nonlocal keys, counts, size
+            new, n = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            keys, counts, size = both, np.bincount(back, np.concatenate([counts, n]), len(both)).astype(np.int64), 0
+
+        for batch in sliced(batches, "ids", SLICE):
+            found = count(Streams(batch.column("ids"), id_type, end))
+            waiting.append(found)
+            size += len(found)
+            if size > 3_000_000:
+                merge()
+        if waiting:
+            merge()
+        for a in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(counts[a : a + 100_000])], names=["k", "n"])
+        trim_memory()
+
+    found = docs.select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = found.column("k").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(k)
+    return k[order], n[order]
+
+
+def _dense(keys: np.ndarray, counts: np.ndarray, *shape: int) -> np.ndarray:
+    out = np.zeros(math.prod(shape), np.float32)
+    out[keys] = counts
+    return out.reshape(shape)
+
+
+def learn_classes(docs: DataFrame, id_type: str, end: int, vocabulary: int) -> Classes:
+    """Clusters of ids, from the counts of their neighbours: at most vocabulary * BANDS numbers for
+    each of the DISTANCES reach the driver."""
+    counts = _dense(*_sums(docs, lambda s: s.ids, id_type, end), vocabulary).astype(np.float64)
+    order = np.argsort(-counts, kind="stable")
+    band = np.full(vocabulary, BANDS - 1)
+    band[order[: BANDS - 1]] = np.arange(BANDS - 1)
+
+    def around(s: Streams) -> np.ndarray:
+        text = np.repeat(np.arange(len(s.length)), s.length)
+        out = []
+        for i, d in enumerate(DISTANCES):
+            a, b = (slice(None, -d), slice(d, None)) if d > 0 else (slice(-d, None), slice(None, d))
+            same = text[a] == text[b]
+            out.append(((i * vocabulary) + s.ids[a][same]) * BANDS + band[s.ids[b][same]])
+        return np.concatenate(out)
+
+    found = _dense(*_sums(docs, around, id_type, end), len(DISTANCES), vocabulary, BANDS)
+    features = []
+    for k in found:
+        share = k.sum(0) / max(k.sum(), 1)
+        features.append(np.sqrt((k + CLUSTER_PRIOR * share) / (k.sum(1, keepdims=True) + CLUSTER_PRIOR)))
+    x = np.concatenate(features, 1).astype(np.float32)
+    return Classes(_clusters(x, counts, order, FINE_SINGLES, FINE), _clusters(x, counts, order, COARSE_SINGLES, COARSE), counts, id_type, end)
+
+
+def _clusters(x: np.ndarray, counts: np.ndarray, order: np.ndarray, singles: int, n: int) -> np.ndarray:
+    """The first ``singles`` of ``order`` by themselves, the others to the nearest of n - singles
+    means, which start from the next ones of ``order``."""
+    out = np.empty(len(x), np.int64)
+    out[order[:singles]] = np.arange(singles)
+    rest = order[singles:]
+    means = x[rest[: n - singles]].copy()
+
+    def nearest(rows: np.ndarray) -> np.ndarray:
+        return ((means**2).sum(1)[None] - 2 * x[rows] @ means.T).argmin(1)
+
+    seen = rest[counts[rest] > 0]
+    weight = np.sqrt(counts[seen])
+    for _ in range(CLUSTER_ROUNDS if len(seen) else 0):
+        own = nearest(seen)
+        mass = np.bincount(own, weight, len(means))
+        sums = np.zeros(means.shape)
+        np.add.at(sums, own, x[seen] * weight[:, None])
+        means[mass > 0] = (sums[mass > 0] / mass[mass > 0, None]).astype(np.float32)
+    out[rest] = singles + nearest(rest)
+    return out
+
+
+@dataclass
+class Tables:
+    """``prior``: P(coarse class | two fine classes before), by two * FINE + one; ``within``: log10
+    P(id | coarse class, fine class before) in STEPS, by fine class before and id."""
+
+    prior: np.ndarray
+    within: np.ndarray
+
+    @classmethod
+    def of(cls, classes: Classes, triples: np.ndarray, pairs: np.ndarray) -> Tables:
+        """triples: counts by (two, one, coarse class), pairs: by (one, id)."""
+        by_class = np.stack([np.bincount(classes.coarse, row, COARSE) for row in pairs])
+        total = by_class.sum(0)
+        plain = (total + 0.5) / (total.sum() + 0.5 * COARSE)
+        after_one = (by_class + PAIR_PRIOR * plain) / (by_class.sum(1, keepdims=True) + PAIR_PRIOR)
+        prior = (triples + CLASS_PRIOR * after_one[None]) / (triples.sum(2, keepdims=True) + CLASS_PRIOR)
+        mass = classes.counts + ID_PRIOR
+        share = mass / np.bincount(classes.coarse, mass, COARSE)[classes.coarse]
+        within = np.empty(pairs.shape, np.int16)
+        for one, row in enumerate(pairs):
+            p = (row + WITHIN_PRIOR * share) / (by_class[one] + WITHIN_PRIOR)[classes.coarse]
+            within[one] = np.maximum(np.rint(STEPS * np.log10(p)), -(1 << 15))
+        return cls(prior.reshape(FINE * FINE, COARSE).astype(np.float32), within)
+
+
+def learn_tables(docs: DataFrame, classes: Classes) -> Tables:
+    shared = docs.sparkSession.sparkContext.broadcast((classes.fine, classes.coarse))
+    vocabulary = len(classes.fine)
+
+    def both(s: Streams) -> np.ndarray:
+        fine, coarse = shared.value
+        one = fine[s.one]
+        return np.concatenate([(fine[s.two] * FINE + one) * COARSE + coarse[s.ids], FINE * FINE * COARSE + one * vocabulary + s.ids])
+
+    keys, counts = _sums(docs, both, classes.id_type, classes.end)
+    cut = int(np.searchsorted(keys, FINE * FINE * COARSE))
+    return Tables.of(classes, _dense(keys[:cut], counts[:cut], FINE, FINE, COARSE), _dense(keys[cut:] - FINE * FINE * COARSE, counts[cut:], FINE, vocabulary))
 
 
 def start_weights() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
     normal = lambda *shape: (rng.standard_normal(shape) / math.sqrt(WIDTH)).astype(np.float32)
     return {
-        "embed": normal(CLASSES, WIDTH), "query": normal(WIDTH, WIDTH), "key": normal(WIDTH, WIDTH), "value": normal(WIDTH, WIDTH),
-        "out": 0.1 * normal(WIDTH, CLASSES), "near": (-0.05 * np.arange(2 * BLOCK)).astype(np.float32),
+        "embed": normal(FINE, WIDTH), "query": normal(WIDTH, WIDTH), "key": normal(WIDTH, WIDTH), "value": normal(WIDTH, WIDTH),
+        "out": 0.1 * normal(WIDTH, COARSE), "near": (-0.02 * np.arange(SPAN)).astype(np.float32),
     }
 
 
-@dataclass
-class Pairs:
-    """What the counts of pairs of ranks say: ``base``, logits of the next class after a rank, and
-    ``within``, log10 P(rank | class, rank before); both smoothed towards the shares without it."""
-
-    base: np.ndarray
-    within: np.ndarray
-
-    @classmethod
-    def of(cls, keys: np.ndarray, counts: np.ndarray, ids: Ids) -> Pairs:
-        before, after = np.divmod(keys, ACTIVE)
-        by_class = np.bincount(before * CLASSES + ids.class_of[after], counts, ACTIVE * CLASSES).reshape(ACTIVE, CLASSES)
-        share = (by_class.sum(0) + 0.1) / (by_class.sum() + 0.1 * CLASSES)
-        base = np.log((by_class + PAIR_PRIOR * share) / (by_class.sum(1, keepdims=True) + PAIR_PRIOR)).astype(np.float32)
-        within = np.empty((ACTIVE, ACTIVE), np.float16)
-        bounds = np.searchsorted(keys, np.arange(0, ACTIVE + 1) * ACTIVE)
-        for i in range(ACTIVE):
-            row = WITHIN_PRIOR * ids.share
-            own = slice(bounds[i], bounds[i + 1])
-            row[after[own]] += counts[own]
-            within[i] = np.log10(row / (by_class[i] + WITHIN_PRIOR)[ids.class_of])
-        return cls(base, within)
-
-
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
-
-
-_DISTANCE = np.arange(2 * BLOCK)[:, None] - np.arange(2 * BLOCK)[None]
+_DISTANCE = np.arange(SPAN)[:, None] - np.arange(SPAN)[None]
 _AHEAD = _DISTANCE < 0
+_BEHIND = np.maximum(_DISTANCE, 0)
 
 
 def windows_of(streams: Streams) -> np.ndarray:
-    """Successive windows of 2 * BLOCK ranks that cover each text whole, each with the rank before it
-    (ACTIVE before and after the text)."""
-    length = 2 * BLOCK
-    n = -(-streams.length // length)
+    """Successive windows of SPAN ids that cover each text whole, each with the two ids before it;
+    -1 behind the text's end."""
+    n = -(-streams.length // SPAN)
     text = np.repeat(np.arange(len(n)), n)
-    place = ((np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * length)[:, None] + np.arange(length + 1)[None] - 1
-    inside = (place >= 0) & (place < streams.length[text][:, None])
-    at = np.clip(streams.start[text][:, None] + place, 0, max(len(streams.stream) - 1, 0))
-    return np.where(inside, streams.stream[at], ACTIVE).astype(np.uint16)
+    place = ((np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)) * SPAN)[:, None] + np.arange(SPAN)[None]
+    inside = place < streams.length[text][:, None]
+    at = np.where(inside, streams.start[text][:, None] + place, 0)
+    if not len(at):
+        return np.zeros((0, SPAN + 2), np.int32)
+    return np.concatenate([streams.two[at[:, :1]], streams.one[at[:, :1]], np.where(inside, streams.ids[at], -1)], 1).astype(np.int32)
+
+
+def gradients(weights: dict[str, np.ndarray], windows: np.ndarray, classes: Classes, prior: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """The mean of -ln P(coarse class | context) over the ids of some windows, and its gradient.
+
+    What goes in depends on a fine class, so the scores of all pairs of classes are one table, and a
+    window's scores are read from it.
+    """
+    w, scale = weights, np.float32(1 / math.sqrt(WIDTH))
+    rows = np.where(windows < 0, classes.end, windows)
+    inside = (windows[:, 2:] >= 0).reshape(-1)
+    fine = classes.fine[rows[:, :-1]]
+    now, target = fine[:, 1:], classes.coarse[rows[:, 2:]].reshape(-1)
+    n = now.size
+    q_of, k_of, v_of = w["embed"] @ w["query"], w["embed"] @ w["key"], w["embed"] @ w["value"]
+    pair = now[:, :, None] * FINE + now[:, None, :]
+    att = (q_of @ k_of.T * scale).reshape(-1)[pair]
+    att += np.where(_AHEAD, np.float32(-1e9), w["near"][_BEHIND])
+    att -= att.max(-1, keepdims=True)
+    np.exp(att, out=att)
+    att /= att.sum(-1, keepdims=True)
+    v = v_of[now]
+    o = (att @ v).reshape(n, WIDTH)
+    z = o @ w["out"]
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z *= prior[(fine[:, :-1] * FINE + now).reshape(-1)]
+    z /= z.sum(-1, keepdims=True)
+    chosen = np.arange(n), target
+    used = max(int(inside.sum()), 1)
+    loss = -float(np.log(z[chosen][inside]).sum()) / used
+    z[chosen] -= 1
+    z[~inside] = 0  # places behind a text's end teach nothing
+    z /= used
+    grad = {"out": o.T @ z}
+    do = (z @ w["out"].T).reshape(v.shape)
+    datt = do @ v.transpose(0, 2, 1)
+    datt -= np.einsum("bij,bij->bi", datt, att)[:, :, None]
+    datt *= att
+    flat = now.reshape(-1)
+    dv = _by_class(flat, (att.transpose(0, 2, 1) @ do).reshape(n, WIDTH))
+    grad["near"] = np.bincount(_BEHIND[~_AHEAD], datt.sum(0)[~_AHEAD], SPAN).astype(np.float32)
+    dpair = np.bincount(pair.reshape(-1), datt.reshape(-1), FINE * FINE).reshape(FINE, FINE).astype(np.float32) * scale
+    dq, dk = dpair @ k_of, dpair.T @ q_of
+    grad |= {name: w["embed"].T @ d for name, d in (("query", dq), ("key", dk), ("value", dv))}
+    grad["embed"] = dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
+    return loss, grad
+
+
+def _by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of rows by class."""
+    out = np.empty((FINE, rows.shape[1]), np.float32)
+    for j in range(rows.shape[1]):
+        out[:, j] = np.bincount(classes, rows[:, j], FINE)
+    return out
 
 
 class Training:
-    """Weights under Adam; ``add`` makes EPOCHS passes over some windows of ``windows_of``."""
+    """Weights under Adam. Windows come in any portions; steps are over BATCH of them, drawn from
+    BUFFER successive ones, so portions don't matter. One pass."""
 
-    def __init__(self, base: np.ndarray, class_of: np.ndarray, end_rank: int):
-        self.base, self.class_of, self.end_rank = base, class_of, end_rank
+    def __init__(self, classes: Classes, prior: np.ndarray):
+        self.classes, self.prior = classes, prior
         self.weights = start_weights()
         self.first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         self.second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         self.rng, self.step, self.windows = np.random.default_rng(11), 0, 0
+        self.waiting: list[np.ndarray] = []
+        self.n_waiting = 0
 
     def add(self, windows: np.ndarray) -> None:
+        self.waiting.append(windows)
+        self.n_waiting += len(windows)
+        while self.n_waiting >= BUFFER:
+            held = np.concatenate(self.waiting)
+            self._learn(held[:BUFFER])
+            self.waiting, self.n_waiting = [held[BUFFER:]], len(held) - BUFFER
+
+    def finish(self) -> dict[str, np.ndarray]:
+        if self.n_waiting:
+            self._learn(np.concatenate(self.waiting))
+        return self.weights
+
+    def _learn(self, windows: np.ndarray) -> None:
         self.windows += len(windows)
-        for _ in range(EPOCHS):
-            order = self.rng.permutation(len(windows))
-            for a in range(0, len(order), BATCH):
-                self._step(windows[order[a : a + BATCH]].astype(np.int64))
-
-    def _step(self, rows: np.ndarray) -> None:
-        w, length = self.weights, 2 * BLOCK
-        scale = np.float32(1 / math.sqrt(WIDTH))
-        # places behind a text's end teach nothing; before its start is an end
-        beyond = np.flatnonzero(rows[:, 1:].reshape(-1) == ACTIVE)
-        rows = np.where(rows == ACTIVE, self.end_rank, rows)
-        ranks, classes = rows[:, :-1].reshape(-1), self.class_of[rows]
-        now, target = classes[:, :-1], classes[:, 1:]
-        n = now.size
-        x = w["embed"][now]
-        q, k, v = x @ w["query"], x @ w["key"], x @ w["value"]
-        s = q @ k.transpose(0, 2, 1) * scale
-        s += np.where(_AHEAD, np.float32(-1e9), w["near"][np.maximum(_DISTANCE, 0)])
-        att = _softmax(s)
-        o = att @ v
-        dz = _softmax((o.reshape(n, WIDTH) @ w["out"]) + self.base[ranks])
-        dz[np.arange(n), target.reshape(-1)] -= 1
-        dz[beyond] = 0
-        dz /= n - len(beyond)
-        g = {"out": o.reshape(n, WIDTH).T @ dz}
-        do = (dz @ w["out"].T).reshape(o.shape)
-        datt = do @ v.transpose(0, 2, 1)
-        dv = att.transpose(0, 2, 1) @ do
-        ds = att * (datt - (datt * att).sum(-1, keepdims=True))
-        g["near"] = np.bincount(_DISTANCE[~_AHEAD], ds.sum(0)[~_AHEAD], length).astype(np.float32)
-        ds *= scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = lambda m: m.reshape(n, WIDTH)
-        xf = flat(x)
-        g |= {"query": xf.T @ flat(dq), "key": xf.T @ flat(dk), "value": xf.T @ flat(dv)}
-        dx = flat(dq) @ w["query"].T + flat(dk) @ w["key"].T + flat(dv) @ w["value"].T
-        hot = np.zeros((n, CLASSES), np.float32)
-        hot[np.arange(n), now.reshape(-1)] = 1
-        g["embed"] = hot.T @ dx
-        self.step += 1
-        for name, grad in g.items():
-            first, second = self.first[name], self.second[name]
-            first += 0.1 * (grad - first)
-            second += 0.01 * (grad * grad - second)
-            w[name] = (w[name] - RATE * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
-
-
-def log_probabilities(streams: Streams, weights: dict[str, np.ndarray], pairs: Pairs, ids: Ids, blocks_at_once: int = 96) -> np.ndarray:
-    """log10 P(rank | the ids before) of each id of the streams."""
-    end_rank = int(ids.rank[ids.end])
+        order = self.rng.permutation(len(windows))
+        for a in range(0, len(order), BATCH):
+            _, grad = gradients(self.weights, windows[order[a : a + BATCH]], self.classes, self.prior)
+            self.step += 1
+            for name, g in grad.items():
+                first, second = self.first[name], self.second[name]
+                first += 0.1 * (g - first)
+                second += 0.01 * (g * g - second)
+                self.weights[name] = (self.weights[name] - RATE * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+
+
+def learn_attention(docs: DataFrame, classes: Classes, tables: Tables) -> dict[str, np.ndarray]:
+    """Weights of the attention, averaged over shards by their windows. ``docs`` has doc_id and ids.
+
+    A shard gives one row for each number of the model, and these are summed in whole numbers."""
+    names = {k: v.shape for k, v in start_weights().items()}
+    shards = max(1, math.ceil(classes.counts.sum() / SHARD_IDS))
+    shared = docs.sparkSession.sparkContext.broadcast((classes, tables.prior))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, prior = shared.value
+        training, shard = None, None
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            if training is not None:
+                weights = training.finish()
+                flat = np.concatenate([weights[k].reshape(-1) for k in names]).astype(np.float64)
+                values = np.rint(flat * (training.windows * FIXED_POINT)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(values))), pa.array(np.concatenate([[training.windows], values]))], names=["k", "v"])
+
+        for batch in sliced(batches, "ids", SLICE):
+            ours = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ours)) + 1).tolist(), len(ours)]
+            for a, b in zip(cuts, cuts[1:]):
+                if ours[a] != shard:
+                    yield from settle()
+                    training, shard = Training(classes, prior), ours[a]
+                training.add(windows_of(Streams(batch.column("ids").slice(a, b - a), classes.id_type, classes.end)))
+        yield from settle()
+        training = None
+        trim_memory()
+
+    mark = F.xxhash64("doc_id", "ids")
+    rows = docs.select(F.pmod(mark, F.lit(shards)).cast("int").alias("shard"), mark.alias("mark"), "doc_id", "ids")
+    rows = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "mark", "doc_id", "ids").select("shard", "ids")
+    found = rows.mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    v = found.column("v").to_numpy()[np.argsort(found.column("k").to_numpy())]
+    weights, at = start_weights(), 1
+    if len(v) and v[0]:
+        for name, shape in names.items():
+            size = math.prod(shape)
+            weights[name] = (v[at : at + size] / (v[0] * FIXED_POINT)).reshape(shape).astype(np.float32)
+            at += size
+    return weights
+
+
+def log_probabilities(streams: Streams, weights: dict[str, np.ndarray], tables: Tables, classes: Classes, blocks_at_once: int = 256) -> np.ndarray:
+    """log10 P(id | the ids before) of each id of the streams."""
     n_blocks = -(-streams.length // BLOCK)
     total = int(n_blocks.sum())
     block_start = np.cumsum(n_blocks) - n_blocks
     text = np.repeat(np.arange(len(n_blocks)), streams.length)
-    place = np.arange(len(streams.stream)) - streams.start[text] + block_start[text] * BLOCK
+    place = np.arange(len(streams.ids)) - streams.start[text] + block_start[text] * BLOCK
+    end_class = classes.fine[classes.end]
+    one_class = classes.fine[streams.one]
+    now = np.full(total * BLOCK, end_class)
+    now[place] = one_class
+    context = np.zeros(total * BLOCK, np.int64)
+    context[place] = classes.fine[streams.two] * FINE + one_class
     target = np.zeros(total * BLOCK, np.int64)
-    now = np.full(total * BLOCK, end_rank, np.int64)
-    target[place] = streams.stream
-    shifted = np.empty(len(streams.stream), np.int64)
-    shifted[1:] = streams.stream[:-1]
-    shifted[streams.start] = end_rank  # a text begins as after an end
-    now[place] = shifted
-    target_class = ids.class_of[target]
-    now_class = ids.class_of[now]
+    target[place] = classes.coarse[streams.ids]
     opening = np.zeros(total, bool)
     opening[block_start] = True
-    distance = (np.arange(BLOCK) + BLOCK)[:, None] - np.arange(2 * BLOCK)[None]
+    distance = (np.arange(BLOCK) + BLOCK)[:, None] - np.arange(SPAN)[None]
     near = np.where(distance >= 0, np.exp(weights["near"][np.maximum(distance, 0)]), 0).astype(np.float32)
     # queries, keys and values depend on a class, not on its place: so does the exponential of each
     # pair's score (less its row's largest, which the normalisation takes out)
     pair = (weights["embed"] @ weights["query"]) @ (weights["embed"] @ weights["key"]).T / math.sqrt(WIDTH)
-    pair = np.exp(pair - pair.max(1, keepdims=True)).astype(np.float32)
+    pair = np.exp(np.maximum(pair - pair.max(1, keepdims=True), -60)).astype(np.float32)
     v_of = weights["embed"] @ weights["value"]
-    out_of = np.ascontiguousarray(weights["out"].T)
-    # |o @ out| is at most `reach`, since o is a mean of values; so its exponential needs no shift
-    reach = float(np.abs(v_of @ weights["out"]).max())
-    if reach > 60:
-        raise ValueError("the attention's logits are too large")
-    base_share = np.exp(pairs.base)
     out = np.zeros(total * BLOCK, np.float32)
     for a in range(0, total, blocks_at_once):
         b = min(a + blocks_at_once, total)
-        ranks, target_now = now[a * BLOCK : b * BLOCK], target_class[a * BLOCK : b * BLOCK]
-        own = now_class[a * BLOCK : b * BLOCK]
-        prior = now_class[max(a - 1, 0) * BLOCK : (b - 1) * BLOCK] if a else np.concatenate([own[:BLOCK], own[: (b - 1) * BLOCK]])
-        keys = np.concatenate([prior.reshape(-1, BLOCK), own.reshape(-1, BLOCK)], 1)
-        att = pair[own.reshape(-1, BLOCK, 1), keys[:, None, :]]
+        here = slice(a * BLOCK, b * BLOCK)
+        own = now[here].reshape(-1, BLOCK)
+        prior = now[max(a - 1, 0) * BLOCK : (b - 1) * BLOCK].reshape(-1, BLOCK) if a else np.concatenate([own[:1], own[:-1]])
+        keys = np.concatenate([prior, own], 1)
+        att = pair.reshape(-1)[own[:, :, None] * FINE + keys[:, None, :]]
         att *= near
         att[opening[a:b], :, :BLOCK] = 0
         o = att @ v_of[keys]
         o /= att.sum(2, keepdims=True)
-        o = o.reshape(-1, WIDTH)
-        z = o @ weights["out"]
+        z = o.reshape(-1, WIDTH) @ weights["out"]
+        z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        norm = np.einsum("ij,ij->i", z, base_share[ranks])
-        picked = np.einsum("ij,ij->i", o, out_of[target_now]) + pairs.base[ranks, target_now]
-        out[a * BLOCK : b * BLOCK] = picked - np.log(norm)
-    return out[place] / math.log(10) + pairs.within[now[place], target[place]]
+        z *= tables.prior[context[here]]
+        out[here] = np.log10(z[np.arange(len(z)), target[here]]) - np.log10(z.sum(1))
+    return out[place] + tables.within[one_class, streams.ids] / np.float32(STEPS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -306,98 +476,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for word, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
                 counts[word] = counts.get(word, 0) + n
             counts[END] = counts.get(END, 0) + batch.num_rows
-            if len(counts) > 400_000:
+            if len(counts) > 300_000:
                 yield out()
         if counts:
             yield out()
+        trim_memory()
 
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def id_counts(counts: DataFrame, tokenizer: str, end: int, vocabulary: int) -> np.ndarray:
-    """How often each id comes in the training documents, from the counts of their words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = byte_bpe(tokenizer), np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                if word == END:
-                    total[end] += c
-                else:
-                    np.add.at(total, np.frombuffer(encode(" " + word), "<u4"), c)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "c"])
-
-    out = np.zeros(vocabulary, np.int64)
-    for row in counts.mapInArrow(run, "id long, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():  # at most one row an id
-        out[row["id"]] = row["c"]
-    return out
-
-
-def _add_counts(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    new, n = np.unique(more, return_counts=True)
-    both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-    return both, np.bincount(back, np.concatenate([counts, n]), len(both))
-
-
-def pair_counts(docs: DataFrame, ids: Ids) -> Pairs:
-    """The counts of pairs over all ids of ``docs``: at most ACTIVE * ACTIVE rows to the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value
-        end_rank = int(ids.rank[ids.end])
-        keys, counts = np.zeros(0, np.int64), np.zeros(0)
-        for batch in sliced(batches):
-            s = Streams(batch.column("text"), ids)
-            before = np.empty(len(s.stream), np.int64)
-            before[1:] = s.stream[:-1]
-            before[s.start] = end_rank
-            keys, counts = _add_counts(keys, counts, before * ACTIVE + s.stream)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["k", "v"])
-
-    rows = docs.select("text").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
-    k, v = rows.column("k").to_numpy(), rows.column("v").to_numpy()
-    order = np.argsort(k)
-    return Pairs.of(k[order], v[order], ids)
-
-
-def learn(docs: DataFrame, ids: Ids) -> tuple[dict[str, np.ndarray], Pairs]:
-    """Averaged weights of the attention over all windows of ``docs``, and the counts of their pairs.
-
-    A task trains on a slice of texts at a time and passes on its weights times its windows; the
-    driver gets one row for each number of the model."""
-    shape = {k: v.shape for k, v in start_weights().items()}
-    sizes = {k: int(np.prod(s)) for k, s in shape.items()}
-    n_weights = sum(sizes.values())
-    pairs = pair_counts(docs, ids)
-    shared = docs.sparkSession.sparkContext.broadcast((ids, pairs.base))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, base = shared.value
-        training = Training(base, ids.class_of, int(ids.rank[ids.end]))
-        for batch in sliced(batches):
-            training.add(windows_of(Streams(batch.column("text"), ids)))
-        if not training.windows:
-            return
-        values = np.concatenate([training.weights[k].reshape(-1) for k in sizes]).astype(np.float64) * training.windows
-        k = np.arange(-1, n_weights)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate([[training.windows], values]))], names=["k", "v"])
-
-    rows = docs.select("text").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
-    v = rows.column("v").to_numpy()[np.argsort(rows.column("k").to_numpy())]
-    weights, at = start_weights(), 1
-    if len(v):
-        for name, size in sizes.items():
-            weights[name] = (v[at : at + size] / v[0]).reshape(shape[name]).astype(np.float32)
-            at += size
-    return weights, pairs
-
-
 def score(docs: DataFrame, is_training: Column, tokenizer: str, end: int = 50256, vocabulary: int = 50257) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
-    Both models learn from the rows that ``is_training`` holds for, over all their words and counts.
+    Both models learn from the rows that ``is_training`` holds for, over all their words and ids.
     base_score is the sum over words and the end of log10((c + 0.5) / (N + 0.5 * (V + 1))); score is
     the attention model's log10 probability of the text. Null or empty text: the end alone. Repeated
     rows are scored each. Other columns are left out. With no training rows all counts are 0 and the
@@ -408,63 +499,54 @@ def score(docs: DataFrame, is_training: Column, tokenizer: str, end: int = 50256
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "scoring")
-    docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("_training"))
-    training = docs.where("_training").select("doc_id", "text")
+    id_type = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("training"))
+    docs = scratch.write(coded(docs, tokenizer, end, id_type), "coded")
+    training = docs.where("training").select("doc_id", "text", "ids")
     counts = scratch.write(word_counts(training), "counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, room = totals["n"], totals["n"] + 0.5 * (totals["v"] + 1)
-    memory = MEMORY if n_train else 0.0
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
-    ids = Ids.of(tokenizer, end, id_counts(counts, tokenizer, end, vocabulary))
-    weights, pairs = learn(training, ids)
-    shared = spark.sparkContext.broadcast((ids, weights, pairs, head.column("word").to_pylist(), head.column("c").to_pylist()))
-    log_of = lambda c: np.log10((c + 0.5) / room)
-
-    def blend(c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 of the mixture of a word's share and of its spelling."""
-        return np.log10(memory * c / max(n_train, 1) + (1 - memory) * np.power(10.0, np.maximum(spelled, -290.0))) + np.minimum(spelled + 290.0, 0) * (c == 0)
+    classes = learn_classes(training, id_type, end, vocabulary)
+    tables = learn_tables(training, classes)
+    weights = learn_attention(training, classes, tables)
+    shared = spark.sparkContext.broadcast((classes, weights, tables, head.column("word").to_pylist(), head.column("c").to_pylist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, weights, pairs, words, cs = shared.value
+        classes, weights, tables, words, cs = shared.value
         position = {w: i for i, w in enumerate(words)}
-        cs = np.append(np.array(cs, np.int64), 0)
+        log_of = np.log10((np.append(np.array(cs, np.int64), 0) + 0.5) / room)
         at_end, number = position.get(END, -1), TaskContext.get().partitionId() << 33
-        tail_type = pa.list_(pa.struct([("word", pa.string()), ("spelled", pa.float32())]))
-        for batch in sliced(batches):
-            s = Streams(batch.column("text"), ids)
-            n_texts, first = batch.num_rows, s.words.first
-            logs = log_probabilities(s, weights, pairs, ids)
-            spelled = np.add.reduceat(logs, s.word_at) + s.spread if len(logs) else logs
-            at = np.array([position.get(w, -1) for w in s.distinct.to_pylist()], np.int64)
-            of_unit = np.full(len(s.word_at), at_end, np.int64)
-            of_unit[s.word_unit] = at[s.codes]
-            text = np.repeat(np.arange(n_texts), np.diff(first) + 1)
-            in_head = of_unit >= 0
-            in_head[s.end_unit] = True
-            c = cs[of_unit]
-            sums = np.bincount(text, np.where(in_head, log_of(c), 0.0), n_texts)
-            scores = np.bincount(text, np.where(in_head, blend(c, spelled), 0.0), n_texts)
-            known = np.bincount(text, in_head & (c > 0), n_texts).astype(np.int64)
+        for batch in sliced(batches, most=SLICE):
+            s = Streams(batch.column("ids"), classes.id_type, classes.end)
+            n_texts = batch.num_rows
+            logs = log_probabilities(s, weights, tables, classes).astype(np.float64)
+            scores = np.add.reduceat(logs, s.start) if len(logs) else logs
+            w = Words(batch.column("text"), lower=True)
+            found = w.array().dictionary_encode()
+            codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.array([position.get(x, -1) for x in found.dictionary.to_pylist()], np.int64)[codes] if len(codes) else codes
+            text = np.repeat(np.arange(n_texts), np.diff(w.first))
+            in_head = at >= 0
+            sums = np.bincount(text, np.where(in_head, log_of[at], 0.0), n_texts) + log_of[at_end]
+            known = np.bincount(text, in_head, n_texts).astype(np.int64) + (n_train > 0)
             rare = np.flatnonzero(~in_head)
-            code = np.empty(len(text), np.int64)
-            code[s.word_unit] = s.codes
             offsets = np.searchsorted(text[rare], np.arange(n_texts + 1)).astype(np.int32)
-            tail = pa.StructArray.from_arrays([pc.cast(s.distinct.take(pa.array(code[rare])), pa.string()), pa.array(spelled[rare].astype(np.float32))], names=["word", "spelled"])
-            columns = [pa.array(np.arange(n_texts) + number), batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(first) + 1), pa.array(known), pa.array(sums), pa.array(scores), pa.ListArray.from_arrays(pa.array(offsets), tail).cast(tail_type)]
+            tail = pa.ListArray.from_arrays(pa.array(offsets), pc.cast(found.dictionary.take(pa.array(codes[rare])), pa.string()))
+            columns = [pa.array(np.arange(n_texts) + number), batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(w.first) + 1), pa.array(known), pa.array(sums), pa.array(scores), tail]
             number += n_texts
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "sums", "score", "tail"])
+        trim_memory()
 
-    scored = scratch.write(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, sums double, score double, tail array<struct<word:string,spelled:float>>"), "scored")
-    rare = scored.select("row", F.inline("tail")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    spelled = F.col("spelled").cast("double")
-    # as in blend()
-    mixed = F.log10(memory * F.col("c") / max(n_train, 1) + (1 - memory) * F.pow(F.lit(10.0), F.greatest(spelled, F.lit(-290.0)))) + F.when(F.col("c") == 0, F.least(spelled + 290.0, F.lit(0.0))).otherwise(0.0)
-    rare = rare.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / F.lit(float(room)))).alias("rare"), F.sum(mixed).alias("rare_score"), F.sum((F.col("c") > 0).cast("long")).alias("more"))
+    scored = scratch.write(docs.select("doc_id", "text", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, sums double, score double, tail array<string>"), "scored")
+    scratch.drop("coded")
+    rare = scored.select("row", F.explode("tail").alias("word")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rare = rare.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / F.lit(float(room)))).alias("rare"), F.sum((F.col("c") > 0).cast("long")).alias("more"))
     out = scored.drop("tail").join(rare, "row", "left")
     return out.select(
         "doc_id", "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("rare", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
+        "score",
     )
