@@ -324,42 +324,106 @@ def test_scoring(spark):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
 
 
-def test_blocks_agree_with_plain_attention():
+def toy_model():
+    rng = np.random.default_rng(3)
+    n = 400
+    classes = scoring.Classes(rng.integers(0, scoring.FINE, n), np.arange(n) % scoring.COARSE, rng.integers(0, 50, n).astype(float), "<u2", n - 1)
+    triples = rng.integers(0, 2, (scoring.FINE, scoring.FINE, scoring.COARSE)).astype(np.float32)
+    tables = scoring.Tables.of(classes, triples, rng.integers(0, 3, (scoring.FINE, n)).astype(np.float32))
+    weights = {k: x + rng.normal(size=x.shape).astype(np.float32) * 0.3 for k, x in scoring.start_weights().items()}
+    return rng, classes, tables, weights
+
+
+def streams_of(rng, n, lengths):
     import pyarrow as pa
 
-    ids = scoring.Ids.of(BPE, 50256, np.arange(50257) % 97)
-    rng = np.random.default_rng(3)
-    w = {k: x + rng.normal(size=x.shape).astype(np.float32) * 0.3 for k, x in scoring.start_weights().items()}
-    s = scoring.Streams(pa.array([t for _, t in corpus(12, 8)]), ids)
-    keys = np.unique(rng.integers(0, scoring.ACTIVE**2, 4000))
-    pairs = scoring.Pairs.of(keys, np.ones(len(keys)), ids)
-    got = scoring.log_probabilities(s, w, pairs, ids, blocks_at_once=3)
-    end = int(ids.rank[ids.end])
-    for a, n in zip(s.start[:12], s.length[:12]):
-        x = [end, *s.stream[a : a + n - 1].tolist()]
-        for t in range(0, n, 7):
-            lo = max(0, (t // scoring.BLOCK - 1) * scoring.BLOCK)
-            e = w["embed"][ids.class_of[x[lo : t + 1]]]
-            att = np.exp((e @ w["key"]) @ (e[-1] @ w["query"]) / 4 + w["near"][np.arange(t - lo, -1, -1)])
-            z = (att / att.sum()) @ (e @ w["value"]) @ w["out"] + pairs.base[x[t]]
-            target = int(s.stream[a + t])
-            expected = (z[ids.class_of[target]] - np.log(np.exp(z).sum())) / np.log(10) + pairs.within[x[t], target]
-            assert abs(expected - got[a + t]) < 1e-3
+    data = [rng.integers(0, n, k).astype("<u2").tobytes() for k in lengths]
+    return scoring.Streams(pa.array(data, pa.binary()), "<u2", n - 1)
 
 
-def test_attention_learns_from_whole_texts(spark):
+def plain_log10(weights, tables, classes, before, target, near_start):
+    """log10 P(target | before), attending from position near_start of the ids before."""
+    x = [classes.end, classes.end, *before]
+    fine = classes.fine[x]
+    e = weights["embed"][fine[1 + near_start :]]
+    att = np.exp((e @ weights["key"]) @ (e[-1] @ weights["query"]) / 4 + weights["near"][np.arange(len(e) - 1, -1, -1)])
+    z = np.exp((att / att.sum()) @ (e @ weights["value"]) @ weights["out"]) * tables.prior[fine[-2] * scoring.FINE + fine[-1]]
+    c = classes.coarse[target]
+    return math.log10(z[c] / z.sum()) + tables.within[fine[-1], target] / scoring.STEPS
+
+
+def test_blocks_agree_with_plain_attention():
+    rng, classes, tables, weights = toy_model()
+    s = streams_of(rng, 400, [1, 3, 16, 17, 100, 33])
+    got = scoring.log_probabilities(s, weights, tables, classes, blocks_at_once=3)
+    for a, n in zip(s.start, s.length):
+        ids = s.ids[a : a + n].tolist()
+        for t in range(n):
+            lo = max(0, (t // scoring.BLOCK - 1) * scoring.BLOCK)
+            assert abs(plain_log10(weights, tables, classes, ids[:t], ids[t], lo) - got[a + t]) < 1e-4
+    # each factor sums to one over what it chooses from
+    assert np.allclose(tables.prior.sum(1), 1, atol=1e-4)
+    for one in (0, 7, 200):
+        p = 10.0 ** (tables.within[one] / scoring.STEPS)
+        assert np.allclose(np.bincount(classes.coarse, p, scoring.COARSE), 1, atol=2e-3)
+
+
+def test_attention_gradients():
+    rng, classes, tables, weights = toy_model()
+    windows = scoring.windows_of(streams_of(rng, 400, [5, 40, 70]))
+    assert len(windows) == 1 + 2 + 3
+    weights = {k: v.astype(np.float64) for k, v in weights.items()}
+    _, grad = scoring.gradients(weights, windows, classes, tables.prior.astype(np.float64))
+    for name, w in weights.items():
+        for _ in range(8):
+            at = tuple(rng.integers(0, k) for k in w.shape)
+            if name == "embed":
+                at = (int(rng.choice(classes.fine[windows[windows >= 0]])), at[1])
+            losses = []
+            for step in (1e-4, -1e-4):
+                moved = {k: v.copy() for k, v in weights.items()}
+                moved[name][at] += step
+                losses.append(scoring.gradients(moved, windows, classes, tables.prior.astype(np.float64))[0])
+            assert abs((losses[0] - losses[1]) / 2e-4 - grad[name][at]) < 2e-5
+
+
+def test_windows_cover_whole_texts_in_any_portions():
+    rng, classes, tables, _ = toy_model()
+    s = streams_of(rng, 400, [1, 31, 32, 33, 500])
+    w = scoring.windows_of(s)
+    assert w[:, 2:][w[:, 2:] >= 0].tolist() == s.ids.tolist()
+    assert (w[0, :2] == classes.end).all() and w[-1, :2].tolist() == s.ids[s.start[-1] + 478 : s.start[-1] + 480].tolist()
+    once, parts = scoring.Training(classes, tables.prior), scoring.Training(classes, tables.prior)
+    many = np.concatenate([w] * 300)
+    once.add(many)
+    for a in range(0, len(many), 777):
+        parts.add(many[a : a + 777])
+    left, right = once.finish(), parts.finish()
+    assert all(np.array_equal(left[k], right[k]) for k in left) and once.windows == len(many)
+
+
+def test_scores_learn_and_do_not_depend_on_partitions(spark):
     rng = random.Random(14)
-    body = [f"{a}{b}" for a in ("the", "on", "x,") for b in ("a", "ti", "ng.")]
-    block = lambda k: rng.choices(body, k=k)
-    x, y, middle = block(9), block(9), block(1500)
-    # blocks between equal words, swapped near the start or the end: the counts of pairs stay the same
-    text = lambda a, b: " ".join(["a", *a[0], "a", *a[1], "a", *middle, "a", *b[0], "a", *b[1], "a"])
-    known = np.concatenate([np.frombuffer(packing.byte_bpe(BPE)(" " + w), "<u4") for w in ["a", *body]])
-    ids = scoring.Ids.of(BPE, 50256, np.bincount(known, minlength=50257))
-    learned = [scoring.learn(spark.createDataFrame([(5, text(a, b))], "doc_id long, text string").coalesce(1), ids) for a, b in (((x, y), (x, y)), ((y, x), (x, y)), ((x, y), (y, x)))]
-    for weights, pairs in learned[1:]:
-        assert np.array_equal(pairs.base, learned[0][1].base)
-        assert not np.array_equal(weights["embed"], learned[0][0]["embed"])
+    tongue = [[a + b for a in x for b in x] for x in (("the", "on", "ing", "er"), ("que", "la", "os", "ar"))]
+    rows = []
+    for i in range(400):
+        words = tongue[i % 2]
+        rows.append((i, " ".join(rng.choice(words) + rng.choice(words) for _ in range(600))))
+    rows += [(500, None), (501, ""), (502, "one " * 3000), (None, "theon"), (3, rows[3][1])]
+    docs = frame(spark, rows).withColumns({"training": F.lit(False), "row": F.lit(3)})
+    train = F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True))
+    one = {(r["doc_id"], r["score"]) for r in scoring.score(docs.coalesce(1), train, BPE).collect()}
+    out = scoring.score(docs.repartition(5), train, BPE).collect()
+    assert {(r["doc_id"], r["score"]) for r in out} == one and len(out) == len(rows)
+    held = [r for r in out if r["doc_id"] is not None and r["doc_id"] < 400 and r["doc_id"] % 5 == 1]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # words of the other tongue among a text's own are less likely than its own
+    odd = [(1, " ".join(["theon"] * 20 + ["erer"])), (2, " ".join(["theon"] * 20 + ["quela"]))]
+    a, b = scoring.score(frame(spark, [*rows, (901, odd[0][1]), (906, odd[1][1])]), train, BPE).where("doc_id > 900").orderBy("doc_id").collect()
+    assert a["score"] > b["score"]
+    assert scoring.score(frame(spark, []), train, BPE).count() == 0
+    untrained = scoring.score(frame(spark, [(1, "a b"), (2, None)]), F.lit(False), BPE).collect()
+    assert all(r["train_tokens"] == r["n_known"] == 0 and r["score"] < 0 for r in untrained)
 
 
 def brute_top_k(rows, k, step):
