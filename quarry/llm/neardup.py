@@ -10,7 +10,8 @@ one (of u elements in the union at most u / 5 part the others into runs, one of
 smaller ones are listed by pairs.
 
 Lists generate overlaps in three ways, so that a large list costs a multiple of its length:
-1. every member with the list's smallest member, the pair that shares most lists first;
+1. every member with the smallest member of the list, first for each member the one that shares most
+   of its lists, then the others that are still in another component;
 2. members of different components so far, where a list's cross pairs are few;
 3. of the rest, a member with fewer than SAFE such crowded lists has other lists with any partner
    (two similar sets share fewer than SAFE triples with probability 1.4e-8); members with more
@@ -171,15 +172,13 @@ class NearDuplicates:
         stars = stars.groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("overlap"))
         stars = self.write(stars, "stars")
         self.sketch_of = members.select("rep", "sketch")
-        guess = self.write(_flag_pairs(_with_both(stars, self.sketch_of, "sketch"), "sketch", _estimate(self.percent)), "guess")
-        best = guess.join(stars, ["a", "b"]).groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a"))
-        links = self.write(self.verify(best.select("a", "b")), "links")
+        best = stars.groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a"))
+        links = self.write(self.verify(self.estimated(best.select("a", "b"))), "links")
         label = components(links, self.scratch, f"cc{self.step}")
         label = self.write(label, "label")
-        rest = self.different(guess, label)
-        more = self.write(self.cross_pairs(shared, label), "cross")
-        more = _flag_pairs(_with_both(more, self.sketch_of, "sketch"), "sketch", _estimate(self.percent))
-        links = self.write(links.unionByName(self.verify(rest.unionByName(more).distinct())), "links")
+        # in a group of copies the first pairs leave one component, so few pairs are left of its others
+        rest = self.different(stars, label).unionByName(self.cross_pairs(shared, label)).distinct()
+        links = self.write(links.unionByName(self.verify(self.estimated(self.write(rest, "rest")))), "links")
         same = rows.where("n > 0").join(members.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("doc_id", "rep")
         repeated = same.where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
         links = links.select("a", "b").unionByName(repeated)
@@ -193,6 +192,10 @@ class NearDuplicates:
         joined = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
         return joined.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
+    def estimated(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that their sketches don't rule out."""
+        return _flag_pairs(_with_both(pairs, self.sketch_of, "sketch"), "sketch", _estimate(self.percent))
+
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are similar on full sets."""
         pairs = self.write(pairs, "pairs")
