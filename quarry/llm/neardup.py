@@ -12,16 +12,19 @@ smaller ones are listed by pairs.
 Lists generate overlaps in three ways, so that a large list costs a multiple of its length:
 1. every member with the smallest member of the list, first for each member the one that shares most
    of its lists, then the others that are still in another component;
-2. members of different components so far, where a list's cross pairs are few;
-3. of the rest, a member with fewer than SAFE such crowded lists has other lists with any partner
+2. members of crowded lists with a few drawn partners each, which joins large groups of copies;
+3. members of different components so far, where a list's cross pairs are few;
+4. of the rest, a member with fewer than SAFE crowded lists has other lists with any partner
    (two similar sets share fewer than SAFE triples with probability 1.4e-8); members with more
-   are compared by the rarest fifth of their full sets, which an exact argument says must meet.
+   are compared by the rarest fifth of their full sets, which an exact argument says must meet,
+   and paired only if their bits, which no similar pair can fail, allow it.
 Pairs are filtered by size and by the estimate of the union's sketch, then verified on full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,10 @@ LEAST_PERCENT = 80
 LEAST_SHARED = 28
 CROWDED = 100
 SAFE = 3
+#: Partners drawn for each member of crowded lists, from parts of about so many members.
+DRAWS, PART = 6, 64
+#: Bits by which sets from crowded lists are compared before they are paired.
+BITS = 1024
 #: Ids of documents whose sets are wanted are sent to all executors up to this many (8 MB).
 MOST_BROADCAST = 1 << 20
 #: Sets up to this size are listed by pairs, those from TRIPLES on by triples.
@@ -176,8 +183,11 @@ class NearDuplicates:
         links = self.write(self.verify(self.estimated(best.select("a", "b"))), "links")
         label = components(links, self.scratch, f"cc{self.step}")
         label = self.write(label, "label")
-        # in a group of copies the first pairs leave one component, so few pairs are left of its others
-        rest = self.different(stars, label).unionByName(self.cross_pairs(shared, label)).distinct()
+        drawn = self.write(self.drawn_pairs(self.open_lists(shared, label).where(F.col("cross") > CROWDED)), "drawn")
+        links = self.write(links.unionByName(self.verify(self.estimated(drawn))), "links")
+        label = self.write(components(links, self.scratch, f"cc{self.step}"), "label")
+        # of a group of copies one component is left by now, so few pairs are left of others
+        rest = self.different(stars, label).unionByName(self.cross_pairs(self.write(self.open_lists(shared, label), "open"))).distinct()
         links = self.write(links.unionByName(self.verify(self.estimated(self.write(rest, "rest")))), "links")
         same = rows.where("n > 0").join(members.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("doc_id", "rep")
         repeated = same.where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -217,35 +227,60 @@ class NearDuplicates:
         docs = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(needed, "doc_id", "left_semi")
         return docs.mapInArrow(run, "rep long, set binary")
 
-    def cross_pairs(self, shared: DataFrame, label: DataFrame) -> DataFrame:
-        """Pairs from lists whose members are still in several components."""
+    def open_lists(self, shared: DataFrame, label: DataFrame) -> DataFrame:
+        """The lists whose members are still in several components, with the number of their pairs
+        across components."""
         named = shared.select("key", "rep", "n", "m").join(label.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         of_component = named.groupBy("key", "component").agg(F.count("*").alias("c"))
         per_list = of_component.groupBy("key").agg(F.count("*").alias("k"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).cast("long").alias("cross")).where("k > 1").select("key", "cross")
-        open_lists = self.write(named.join(per_list, "key").select("key", "rep", "n", "component", "cross"), "open")
-        few = open_lists.where(F.col("cross") <= CROWDED).select("key", "rep", "n", "component")
-        pairs = self._cross(few, "key")
-        bound = open_lists.where(F.col("cross") > CROWDED).groupBy("rep", "n", "component").agg(F.count("*").alias("crowded")).where(F.col("crowded") >= F.least(F.lit(SAFE), F.greatest(F.col("n") - 2, F.lit(1))))
+        return named.join(per_list, "key").select("key", "rep", "n", "m", "component", "cross")
+
+    def drawn_pairs(self, lists: DataFrame) -> DataFrame:
+        """For each member a few partners: DRAWS times lists are dealt by a hash of the member into
+        parts of about PART, and of the parts' heads the one is taken that shares most parts."""
+        out = []
+        for seed in range(DRAWS):
+            mark = F.xxhash64(F.lit(seed), "rep")
+            parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / PART, F.lit(1.0))))).cast("long")
+            dealt = lists.select("key", mark.bitwiseAND(parts - 1).alias("part"), "rep", "n", "component", mark.alias("mark"))
+            heads = dealt.groupBy("key", "part").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")), F.struct("mark", "rep")).alias("head")).select("key", "part", "head.*")
+            pairs = dealt.join(heads, ["key", "part"]).where((F.col("component") != F.col("c_a")) & sizes_allow(F.col("n"), F.col("n_a"), self.percent))
+            pairs = pairs.groupBy(F.col("rep").alias("b"), "a").agg(F.count("*").alias("overlap"))
+            out.append(pairs.groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a")))
+        pairs = reduce(DataFrame.unionByName, out)
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def cross_pairs(self, lists: DataFrame) -> DataFrame:
+        """Pairs from lists whose members are still in several components."""
+        few = lists.where(F.col("cross") <= CROWDED).select("key", "rep", "n", "component")
+        pairs = self._cross(few)
+        bound = lists.where(F.col("cross") > CROWDED).groupBy("rep", "n", "component").agg(F.count("*").alias("crowded")).where(F.col("crowded") >= F.least(F.lit(SAFE), F.greatest(F.col("n") - 2, F.lit(1))))
         bound = self.write(bound.select("rep", "n", "component"), "bound")
         if not bound.isEmpty():
-            pairs = pairs.unionByName(self._cross(self.rarest(bound), "key")).distinct()
+            pairs = pairs.unionByName(self._cross(self.rarest(bound))).distinct()
         return pairs
 
-    def _cross(self, lists: DataFrame, key: str) -> DataFrame:
-        """Pairs of members of one list in different components, of sizes that allow similarity."""
-        left = lists.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-        right = lists.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-        pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes_allow(F.col("n_a"), F.col("n_b"), self.percent))
-        return pairs.select("a", "b").distinct()
+    def _cross(self, lists: DataFrame) -> DataFrame:
+        """Pairs of members of one list in different components, of sizes that allow similarity and,
+        where the lists have ``bits``, of bits that do: each bit that one set has and the other has
+        not is an element that only one of them has."""
+        left, right = (lists.select("key", *[F.col(c).alias(f"{c}_{x}") for c in lists.columns if c != "key"]) for x in ("a", "b"))
+        n_a, n_b = F.col("n_a"), F.col("n_b")
+        allowed = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & sizes_allow(n_a, n_b, self.percent)
+        if "bits" in lists.columns:
+            words = [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)]
+            allowed &= reduce(Column.__add__, words) * (100 + self.percent) <= (n_a + n_b) * (100 - self.percent)
+        return left.join(right, "key").where(allowed).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
     def rarest(self, bound: DataFrame) -> DataFrame:
-        """Lists of single shingles: for a set of n, its n - ceil(0.8 n) + 1 rarest among ``bound``.
+        """Lists of single shingles: for a set of n, its n - ceil(0.8 n) + 1 rarest among ``bound``,
+        with BITS bits of the whole set.
 
         In an order that is the same for all, two sets that share that many of their elements share
         one of these.
         """
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 sets = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
                 count = np.array([len(s) for s in sets], np.int64)
@@ -253,15 +288,23 @@ class NearDuplicates:
                     own = slice(a, a + 256)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets[own])), pa.array(np.repeat(batch.column("rep").to_numpy()[own], count[own]))], names=["key", "rep"])
 
-        sets = self.sets_of(bound.select(F.col("rep").alias("doc_id")))
-        elements = self.write(sets.mapInArrow(run, "key long, rep long"), "elements")
-        often = elements.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+        def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                has = np.zeros((batch.num_rows, BITS), bool)
+                for row, x in enumerate(batch.column("set").to_pylist()):
+                    has[row, (np.frombuffer(x, np.uint64) % np.uint64(BITS)).astype(np.int64)] = True
+                words = np.packbits(has, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(list(words), pa.list_(pa.int64()))], names=["rep", "bits"])
+
+        sets = self.write(self.sets_of(bound.select(F.col("rep").alias("doc_id"))), "sets")
+        found = self.write(sets.mapInArrow(elements, "key long, rep long"), "elements")
+        often = found.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
         # elements found once can't be shared, but come first in the order: they use up places
-        ranked = elements.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("x"))
+        ranked = found.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("x"))
         ranked = ranked.join(bound, "rep").withColumn("single", F.col("n") - F.size("x"))
         places = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1 - F.col("single")
         taken = ranked.where(places > 0).select("rep", "n", "component", F.explode(F.slice("x", F.lit(1), places.cast("int"))).alias("e"))
-        return taken.select(F.col("e.key").alias("key"), "rep", "n", "component")
+        return taken.select(F.col("e.key").alias("key"), "rep", "n", "component").join(sets.mapInArrow(bits, "rep long, bits array<long>"), "rep")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
