@@ -27,12 +27,6 @@ def split_identifier(name: Column) -> Column:
     return F.transform(F.regexp_extract_all(name, F.lit(CAMEL), F.lit(0)), F.lower)
 
 
-def first_spellings(names: Column) -> Column:
-    """The names whose lower-case form did not come before, in order (for short arrays)."""
-    low = F.transform(names, F.lower)
-    return F.filter(names, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
-
-
 def with_parts(name: Column, shortest: int) -> Column:
     """A name in lower case, then its parts of ``shortest`` characters or more, if it has several."""
     parts = split_identifier(name)
@@ -42,15 +36,19 @@ def with_parts(name: Column, shortest: int) -> Column:
 
 def _until(groups: Column, limit: int) -> Column:
     """Distinct terms of the groups, group by group until there are ``limit``; the last group counts
-    whole, so there may be a few more."""
+    whole, so there may be a few more. A group whose first term is there already is passed over."""
     empty = F.array().cast("array<string>")
-    return F.aggregate(groups, empty, lambda seen, g: F.when(F.size(seen) >= limit, seen).otherwise(F.array_distinct(F.concat(seen, g))))
+
+    def step(seen: Column, group: Column) -> Column:
+        done = (F.size(seen) >= limit) | F.array_contains(seen, F.get(group, F.lit(0)))
+        return F.when(done, seen).otherwise(F.array_distinct(F.concat(seen, group)))
+
+    return F.aggregate(groups, empty, step)
 
 
 def identifier_terms(text: Column, limit: int = 400) -> Column:
     """Ordered distinct identifiers and their parts, for indexing."""
-    names = first_spellings(F.array_distinct(identifiers(text)))
-    return _until(F.transform(names, lambda x: with_parts(x, 2)), limit)
+    return _until(F.transform(F.array_distinct(identifiers(text)), lambda x: with_parts(x, 2)), limit)
 
 
 def query_terms(text: Column, limit: int = 24) -> Column:

@@ -2,48 +2,90 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$")
+#: The line that opens a hunk of a unified diff.
+HUNK = r"^@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@"
+HUNK_HEAD = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)$"
+HUNK_SIDES = r"^@@ -(\d+(?:,\d+)?) \+(\d+(?:,\d+)?) @@(.*)$"
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
-HUNKS_SCHEMA = "id long, hunk int, old_start int, old_len int, new_start int, new_len int, added array<int>, removed array<int>"
-
-
-def parse_patch(patch: str | None) -> list[dict]:
-    """The hunks of a unified diff: ranges, new-side numbers of added and old-side ones of removed
-    lines. Lines that begin with a backslash are notes."""
-    out: list[dict] = []
-    old = new = 0
-    for line in (patch or "").split("\n"):
-        head = HUNK.match(line)
-        if head:
-            old, n_old, new, n_new = int(head[1]), int(head[2] or 1), int(head[3]), int(head[4] or 1)
-            out.append({"old_start": old, "old_len": n_old, "new_start": new, "new_len": n_new, "added": [], "removed": []})
-        elif out and line[:1] == "+":
-            out[-1]["added"].append(new)
-            new += 1
-        elif out and line[:1] == "-":
-            out[-1]["removed"].append(old)
-            old += 1
-        elif out and line[:1] != "\\":
-            old, new = old + 1, new + 1
-    return out
 
 
 def hunks(patches: DataFrame) -> DataFrame:
-    """One row per hunk of (id, patch)."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"id": i, "hunk": k, **h} for i, p in zip(frame["id"], frame["patch"], strict=True) for k, h in enumerate(parse_patch(p))]
-            yield pd.DataFrame(rows, columns=["id", "hunk", "old_start", "old_len", "new_start", "new_len", "added", "removed"])
-
-    return patches.select("id", "patch").mapInPandas(run, HUNKS_SCHEMA)
+    """One row per hunk of (id, patch): ranges, header, lines, new-side numbers of added and old-side
+    ones of removed lines. Lines that begin with a backslash are notes. Null patches have none.
+
+    Expressions only: a patch is cut before its @@ lines, a hunk's lines are counted by an aggregate.
+    """
+    parts = F.posexplode(F.filter(F.split("patch", r"(?:^|\n)(?=@@ -\d)"), lambda h: h.rlike(HUNK))).alias("hunk", "h")
+    rows = patches.select("id", parts).withColumn("lines", F.split("h", "\n"))
+    head = F.get("lines", F.lit(0))
+    number = lambda g: F.regexp_extract(head, HUNK_HEAD, g)
+    count = lambda g: F.when(number(g) == "", 1).otherwise(number(g).try_cast("int"))
+    rows = rows.select(
+        "id", "hunk", number(1).cast("int").alias("old_start"), count(2).alias("old_len"), number(3).cast("int").alias("new_start"), count(4).alias("new_len"),
+        F.trim(number(5)).alias("header"), F.slice("lines", F.lit(2), F.size("lines")).alias("lines"),
+    )
+    none = F.array().cast("array<int>")
+    start = F.struct(F.col("old_start").alias("old"), F.col("new_start").alias("new"), none.alias("added"), none.alias("removed"))
+
+    def step(at: Column, line: Column) -> Column:
+        plus, minus, note = line.startswith("+"), line.startswith("-"), line.startswith("\\")
+        return F.struct(
+            (at["old"] + F.when(plus | note, 0).otherwise(1)).alias("old"),
+            (at["new"] + F.when(minus | note, 0).otherwise(1)).alias("new"),
+            F.when(plus, F.array_append(at["added"], at["new"])).otherwise(at["added"]).alias("added"),
+            F.when(minus, F.array_append(at["removed"], at["old"])).otherwise(at["removed"]).alias("removed"),
+        )
+
+    return rows.withColumn("n", F.aggregate("lines", start, step)).select("id", "hunk", "old_start", "old_len", "new_start", "new_len", "header", "lines", F.col("n.added").alias("added"), F.col("n.removed").alias("removed"))
+
+
+def annotated(hunk_rows: DataFrame) -> DataFrame:
+    """id, text: a patch's hunks with new-side line numbers in front of the lines that have one."""
+    before = F.col("new_start")
+    lines = F.filter("lines", lambda x: ~x.startswith("\\"))
+    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("x"), (before + F.size(F.filter(F.slice(lines, F.lit(1), i), lambda y: ~y.startswith("-")))).alias("n")))
+    body = F.transform(
+        numbered,
+        lambda r: F.when(r["x"].startswith("-"), F.concat(F.lit("      - "), F.substr(r["x"], F.lit(2)))).otherwise(
+            F.concat(F.lpad(r["n"].cast("string"), 5, " "), F.when(r["x"].startswith("+"), F.lit(" + ")).otherwise(F.lit("   ")), F.substr(r["x"], F.lit(2)))
+        ),
+    )
+    head = F.format_string("@@ old %d,%d new %d,%d @@ %s", "old_start", "old_len", "new_start", "new_len", "header")
+    text = F.concat_ws("\n", head, F.array_join(body, "\n"))
+    rows = hunk_rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("hunk", text.alias("t")))).alias("t"))
+    return rows.select("id", F.array_join(F.transform("t", lambda x: x["t"]), "\n").alias("text"))
+
+
+def reversed_patch(patch: Column) -> Column:
+    """A patch of one file with its sides swapped; file headers go."""
+    def line(x: Column) -> Column:
+        head = F.concat(
+            F.lit("@@ -"), F.regexp_extract(x, HUNK_SIDES, 2), F.lit(" +"), F.regexp_extract(x, HUNK_SIDES, 1), F.lit(" @@"), F.regexp_extract(x, HUNK_SIDES, 3)
+        )
+        swapped = F.when(x.startswith("+"), F.concat(F.lit("-"), F.substr(x, F.lit(2)))).when(x.startswith("-"), F.concat(F.lit("+"), F.substr(x, F.lit(2))))
+        return F.when(x.rlike(HUNK_SIDES), head).otherwise(F.coalesce(swapped, x))
+
+    header = lambda x: x.startswith("diff --git") | x.startswith("index ") | x.startswith("---") | x.startswith("+++")
+    lines = F.split(F.regexp_replace(patch, r"\n$", ""), "\n")
+    return F.concat(F.array_join(F.transform(F.filter(lines, lambda x: ~header(x)), line), "\n"), F.lit("\n"))
+
+
+def gold_ranges(hunk_rows: DataFrame, context: int = 3) -> DataFrame:
+    """id, hunk, low, high: the old-side lines that a hunk changes, inside its context lines."""
+    low = F.col("old_start") + context
+    return hunk_rows.select("id", "hunk", low.alias("low"), F.greatest(low, F.col("old_start") + F.col("old_len") - context - 1).alias("high"))
+
+
+def gold_regions(hunk_rows: DataFrame, context: int = 3) -> DataFrame:
+    """id, hunk, low, high: the new-side lines from the first added to the last, or around the place
+    where a hunk only removes."""
+    at = F.col("new_start") + context
+    some = F.size("added") > 0
+    return hunk_rows.select("id", "hunk", F.when(some, F.array_min("added")).otherwise(at - 1).alias("low"), F.when(some, F.array_max("added")).otherwise(at + 1).alias("high"))
 
 
 def in_hunks(lines: DataFrame, ranges: DataFrame, slack: int = 3) -> DataFrame:

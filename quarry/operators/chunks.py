@@ -13,20 +13,24 @@ LIMIT = 1500
 
 def chunk_lines(text: str | None, limit: int = LIMIT, first_line: int = 1) -> list[tuple[int, int, str]]:
     """(first line, last line, text): a new chunk at a blank or # line once the limit is passed, or
-    anywhere beyond 1.3 times the limit; lines are clipped at the limit."""
+    anywhere beyond 1.3 times the limit; lines are clipped at the limit. Chunks of white space go."""
     out: list[tuple[int, int, str]] = []
     held: list[str] = []
     size, begin = 0, first_line
+
+    def settle() -> None:
+        if any(x.strip() for x in held):
+            out.append((begin, begin + len(held) - 1, "\n".join(held)))
+
     for number, line in enumerate((text or "").split("\n"), first_line):
         line = line[:limit]
         soft = not line.strip() or line.startswith("#")
         if held and (size + len(line) > limit and soft or size > 1.3 * limit):
-            out.append((begin, number - 1, "\n".join(held)))
+            settle()
             held, size, begin = [], 0, number
         held.append(line)
         size += len(line) + 1
-    if any(x.strip() for x in held):
-        out.append((begin, begin + len(held) - 1, "\n".join(held)))
+    settle()
     return out
 
 

@@ -22,8 +22,10 @@ def cochange(changes: DataFrame, least: int = 2) -> DataFrame:
 
     Commits of fewer than 2 or more than 50 files say nothing; so a commit gives at most 1,225 pairs.
     """
-    sets = changes.select("sha", "path").distinct().groupBy("sha").agg(F.sort_array(F.collect_list("path")).alias("p"))
-    sets = sets.where(F.size("p").between(LEAST_FILES, MOST_FILES))
+    files = changes.select("sha", "path").distinct()
+    # sizes are counted first: no commit of any size is gathered in one row
+    sized = files.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n").between(LEAST_FILES, MOST_FILES)).select("sha")
+    sets = files.join(sized, "sha", "left_semi").groupBy("sha").agg(F.sort_array(F.collect_list("path")).alias("p"))
     pairs = sets.select(F.explode(F.flatten(F.transform("p", lambda x, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("e"))
     return pairs.groupBy("e.a", "e.b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

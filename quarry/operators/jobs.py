@@ -42,3 +42,24 @@ def statistics(rows: DataFrame, by: list[str]) -> DataFrame:
 def after(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     """The next events behind an offset."""
     return rows.where(F.col("id") > offset).orderBy("id").limit(limit)
+
+
+def claimed(jobs: DataFrame, by: str = "kind") -> DataFrame:
+    """The oldest queued job (id, ts, status) of each ``by``: what a worker takes next. A batch has one
+    planner, so no job is taken twice."""
+    return jobs.where("status = 'queued'").groupBy(by).agg(F.min_by("id", F.struct("ts", "id")).alias("id"))
+
+
+def stale(jobs: DataFrame, now, seconds: int = 1800) -> DataFrame:
+    """jobs (id, ts, status) with status failed for those that run longer than ``seconds``."""
+    late = (F.col("status") == "running") & (F.col("ts") < now - F.expr(f"INTERVAL {seconds} SECONDS"))
+    return jobs.withColumn("status", F.when(late, "failed").otherwise(F.col("status")))
+
+
+def first_in_ttl(jobs: DataFrame, key: list[str], days: int = 14) -> DataFrame:
+    """The jobs (key, ts, id) that no kept job of the same key came before within ``days``."""
+    ttl = days * 86_400_000_000
+    rows = jobs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "id"))).alias("x"))
+    none = F.array().cast("array<struct<t:bigint,id:bigint>>")
+    keep = F.aggregate("x", none, lambda kept, e: F.when((F.size(kept) == 0) | (e["t"] >= F.get(kept, F.size(kept) - 1)["t"] + ttl), F.array_append(kept, e)).otherwise(kept))
+    return rows.select(*key, F.explode(keep).alias("e")).select(*key, "e.id", F.timestamp_micros("e.t").alias("ts"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def postings(docs: DataFrame, id_column: str, fields: dict[str, tuple[Column, float]]) -> DataFrame:
-    """doc, term, tf, positions of the fields' tokens; tf is the sum of the fields' weights.
+def postings(docs: DataFrame, id_column: str, fields: dict[str, tuple[Column, float]], positions: bool = False) -> DataFrame:
+    """doc, term, tf, hits of the fields' tokens; tf is the sum of the fields' weights.
 
-    ``fields``: name -> (column of an array of tokens, weight). Positions are those of the last field.
+    ``fields``: name -> (column of an array of tokens, weight). With ``positions``, the sorted places
+    in the last field too.
     """
     parts = []
     for name, (tokens, weight) in fields.items():
@@ -21,7 +22,8 @@ def postings(docs: DataFrame, id_column: str, fields: dict[str, tuple[Column, fl
         parts.append(t.withColumn("w", F.lit(float(weight))).withColumn("field", F.lit(name)))
     rows = reduce(DataFrame.unionByName, parts)
     last = list(fields)[-1]
-    return rows.groupBy("doc", "term").agg(F.sum("w").alias("tf"), F.count("*").alias("hits"), F.sort_array(F.collect_list(F.when(F.col("field") == last, F.col("at")))).alias("positions"))
+    places = [F.sort_array(F.collect_list(F.when(F.col("field") == last, F.col("at")))).alias("positions")] if positions else []
+    return rows.groupBy("doc", "term").agg(F.sum("w").alias("tf"), F.count("*").alias("hits"), *places)
 
 
 def corpus_statistics(index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +45,33 @@ def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.groupBy("query", "doc").agg(F.sum(idf * gain).alias("score"))
 
 
+def search(docs: DataFrame, id_column: str, fields: dict[str, tuple[Column, float]], queries: DataFrame) -> DataFrame:
+    """query, doc, score: BM25 of queries (query, term) over fields of ``docs`` without an index.
+
+    ``fields``: name -> (array of tokens, weight); tf is the weighted count, the length that of all
+    fields. Tokens that no query has go before anything is counted, and a document's length goes with
+    its tokens, so only occurrences of search terms are shuffled; N and the mean length are one row of
+    a second pass. A query's terms are few; the set of all is joined to the tokens, broadcast only when
+    Spark finds it small.
+    """
+    arrays = docs.select(F.col(id_column).alias("doc"), *[c.alias(f"f_{name}") for name, (c, _) in fields.items()])
+    length = reduce(Column.__add__, [F.size(f"f_{name}") for name in fields])
+    totals = arrays.select(length.alias("len")).agg(F.count_if(F.col("len") > 0).alias("N"), F.sum("len").alias("sum"))
+
+    def weighted(tokens: Column, weight: float) -> Column:
+        return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+    weighed = F.concat(*[weighted(F.col(f"f_{name}"), w) for name, (_, w) in fields.items()])
+    tokens = arrays.select("doc", length.alias("len"), F.inline(weighed))
+    terms = queries.select("query", "term").distinct()
+    tf = tokens.join(terms.select("term").distinct(), "term").groupBy("doc", "len", "term").agg(F.sum("w").alias("tf"))
+    frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
+    hits = terms.join(frequency, "term").join(tf, "term").crossJoin(F.broadcast(totals))  # one row
+    idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / (F.col("sum") / F.col("N"))))
+    return hits.groupBy("query", "doc").agg(F.sum(idf * gain).alias("score"))
+
+
 def top(scored: DataFrame, k: int, by: str = "query", digits: int = 6) -> DataFrame:
     """The k best documents of each query, with rank; ties to the smaller id."""
     scored = scored.withColumn("score", F.round("score", digits))

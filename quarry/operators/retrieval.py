@@ -14,18 +14,21 @@ RRF_K = 60
 BLOCK = 512
 
 
-def dense_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, id, score, rank: the k vectors of largest inner product with each query (query, q).
+def dense_top(vectors: DataFrame, queries: DataFrame, k: int, within: str | None = None) -> DataFrame:
+    """query, id, score, rank: the k vectors (id, v) of largest inner product with each query (query,
+    q), or of those with the query's value of the column ``within``.
 
     Neither side need be small: each query meets the vectors a block at a time, and only k rows a
     query and block go on to be ranked. A null product comes last.
     """
     block = F.floor(F.monotonically_increasing_id() / BLOCK)
-    blocks = vectors.select(block.alias("block"), F.struct("id", "v").alias("row")).groupBy("block").agg(F.collect_list("row").alias("rows"))
+    key = [within] if within else []
+    blocks = vectors.select(*key, block.alias("block"), F.struct("id", "v").alias("row")).groupBy(*key, "block").agg(F.collect_list("row").alias("rows"))
     score = lambda r: F.round(dot(r["v"], F.col("q")), 6)
     found = F.transform("rows", lambda r: F.struct((-score(r)).alias("s"), r["id"].alias("id")))
     found = F.transform(found, lambda x: F.struct(x["s"].isNull().alias("none"), x["s"].alias("s"), x["id"].alias("id")))
-    best = blocks.crossJoin(queries).select("query", F.inline(F.slice(F.array_sort(found), 1, k)))
+    met = blocks.join(queries, within) if within else blocks.crossJoin(queries)
+    best = met.select("query", F.inline(F.slice(F.array_sort(found), 1, k)))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("none", "s", "id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "id", (-F.col("s")).alias("score"), "rank")
 
@@ -70,13 +73,24 @@ def asof(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("hit", carried).where("_kind = 1").select(key, "point", F.col("_t").alias("at"), F.col("hit.span").alias("span"), F.col("hit.start").alias("start"))
 
 
-def innermost(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """For each point (key, point, line) the shortest span (key, span, low, high) that holds it;
-    of equal ones the first."""
-    held = points.join(spans, key).where(F.col("line").between(F.col("low"), F.col("high")))
+def _bins(low: Column, high: Column, width: int) -> Column:
+    return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+
+
+def innermost(points: DataFrame, spans: DataFrame, key: str, width: int = 256) -> DataFrame:
+    """For each point (key, point, line) the shortest span (key, span, low, high) that holds it; of
+    equal ones the first. Spans go to the bins of ``width`` lines that they touch, so a point meets
+    those of its bin and not all of its key."""
+    dealt = spans.where(F.col("low") <= F.col("high")).select("*", _bins(F.col("low"), F.col("high"), width).alias("bin"))
+    held = points.withColumn("bin", F.floor(F.col("line") / width)).join(dealt, [key, "bin"]).where(F.col("line").between(F.col("low"), F.col("high")))
     return held.groupBy(key, "point", "line").agg(F.min_by("span", F.struct(F.col("high") - F.col("low"), "span")).alias("span"))
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str, slack: int = 0) -> DataFrame:
-    """Pairs of spans (key, x, x_low, x_high) and (key, y, y_low, y_high) that overlap within slack."""
-    return a.join(b, key).where((F.col("x_high") + slack >= F.col("y_low")) & (F.col("x_low") - slack <= F.col("y_high")))
+def overlapping(a: DataFrame, b: DataFrame, key: str, slack: int = 0, width: int = 256) -> DataFrame:
+    """Pairs of spans (key, x, x_low, x_high) and (key, y, y_low, y_high) that overlap within slack.
+
+    Both go to bins of ``width`` lines; a pair is made in the first bin that both touch."""
+    left = a.withColumns({"_a": F.col("x_low") - slack, "_b": F.col("x_high") + slack}).where("_a <= _b").withColumn("bin", _bins(F.col("_a"), F.col("_b"), width))
+    right = b.where("y_low <= y_high").withColumn("bin", _bins(F.col("y_low"), F.col("y_high"), width))
+    met = left.join(right, [key, "bin"]).where((F.col("_b") >= F.col("y_low")) & (F.col("_a") <= F.col("y_high")) & (F.col("bin") == F.floor(F.greatest("_a", "y_low") / width)))
+    return met.drop("bin", "_a", "_b")

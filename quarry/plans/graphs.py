@@ -71,14 +71,14 @@ def pagerank_personalized(spark, sf_dir):
 w AS (SELECT * FROM (VALUES ('trade', 'out', 1.0, 20.0), ('trade', 'in', 0.5, 20.0)) v(kind, direction, factor, floor)),
 steps AS (SELECT 'out' AS direction, src AS node, dst AS other, weight FROM edges UNION ALL SELECT 'in', dst, src, weight FROM edges),
 f AS (SELECT s.query, st.direction, st.other, st.weight, round(factor * weight, 6) AS s, row_number() OVER (PARTITION BY s.query, st.direction ORDER BY weight DESC, st.node, other) AS nth
-  FROM (SELECT c_custkey % 4 AS query, c_custkey AS node FROM customer WHERE c_custkey <= 12 UNION ALL SELECT s_suppkey % 4, -s_suppkey - 1 FROM supplier WHERE s_suppkey <= 4) s JOIN steps st USING (node) JOIN w USING (direction) WHERE weight >= floor),
+  FROM (SELECT c_custkey % 97 AS query, c_custkey AS node FROM customer UNION ALL SELECT s_suppkey % 97, -s_suppkey - 1 FROM supplier) s JOIN steps st USING (node) JOIN w USING (direction) WHERE weight >= floor),
 b AS (SELECT query, other AS node, max(s) AS score FROM f WHERE nth <= 60 GROUP BY 1, 2),
-x AS (SELECT * FROM b WHERE (query, node) NOT IN (SELECT c_custkey % 4, c_custkey FROM customer WHERE c_custkey <= 12 UNION ALL SELECT s_suppkey % 4, -s_suppkey - 1 FROM supplier WHERE s_suppkey <= 4)),
+x AS (SELECT * FROM b WHERE (query, node) NOT IN (SELECT c_custkey % 97, c_custkey FROM customer UNION ALL SELECT s_suppkey % 97, -s_suppkey - 1 FROM supplier)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, node) AS rank FROM x)
 SELECT query, node, score, rank FROM r WHERE rank <= 40""")
 def graph_expand(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 12").select((F.col("c_custkey") % 4).alias("query"), F.col("c_custkey").alias("node"))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 4").select((F.col("s_suppkey") % 4).alias("query"), (-F.col("s_suppkey") - 1).alias("node"))
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 97).alias("query"), F.col("c_custkey").alias("node"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 97).alias("query"), (-F.col("s_suppkey") - 1).alias("node"))
     weights = spark.sql("SELECT * FROM VALUES ('trade', 'out', 1.0D, 20.0D), ('trade', 'in', 0.5D, 20.0D) AS v(kind, direction, factor, floor)")
     found = graph.expand(c.unionByName(s), trade(spark, sf_dir).withColumn("kind", F.lit("trade")), weights)
     return found.select("query", "node", "score", F.col("rank").cast("long").alias("rank"))
@@ -92,10 +92,10 @@ def neighbours_topk(spark, sf_dir):
 SUPPLY_SQL = "calls AS (SELECT DISTINCT l_partkey AS src, l_partkey * 7 % (SELECT max(p_partkey) FROM part) + l_suppkey AS dst FROM lineitem WHERE l_quantity >= 40)"
 
 
-def _calls(spark, sf_dir):
+def _calls(spark, sf_dir, least=40):
     """A second graph: parts that name other parts."""
     n = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("n"))
-    i = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").crossJoin(F.broadcast(n))  # one row
+    i = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least).crossJoin(F.broadcast(n))  # one row
     return i.select(F.col("l_partkey").alias("src"), (F.col("l_partkey") * 7 % F.col("n") + F.col("l_suppkey")).alias("dst")).distinct()
 
 
@@ -111,12 +111,15 @@ def bfs_3hop(spark, sf_dir):
     return graph.reached(start, _calls(spark, sf_dir), 3)
 
 
-@query(f"""WITH {SUPPLY_SQL}, tests AS (SELECT DISTINCT src, dst FROM calls WHERE src % 50 = 0), s AS (SELECT DISTINCT dst AS node FROM tests), {BFS_SQL},
+FEW_SQL = SUPPLY_SQL.replace("l_quantity >= 40", "l_quantity >= 46")
+
+
+@query(f"""WITH {FEW_SQL}, tests AS (SELECT DISTINCT src, dst FROM calls WHERE src % 50 = 0), s AS (SELECT DISTINCT dst AS node FROM tests), {BFS_SQL},
 callers AS (SELECT dst AS node, count(DISTINCT src) AS callers FROM calls GROUP BY 1 HAVING count(DISTINCT src) >= 2),
 c AS (SELECT p_partkey AS node, callers FROM part JOIN callers ON p_partkey = node WHERE node NOT IN (SELECT dst FROM tests) ORDER BY callers DESC, node LIMIT 48)
 SELECT node, callers FROM c WHERE node NOT IN (SELECT node FROM seen) ORDER BY callers DESC, node LIMIT 12""")
 def test_gaps(spark, sf_dir):
-    calls = _calls(spark, sf_dir)
+    calls = _calls(spark, sf_dir, 46)
     symbols = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"))
     return analytics.test_gaps(symbols, calls, calls.where("src % 50 = 0"), least_callers=2).select("node", "callers")
 
@@ -175,11 +178,11 @@ def repo_map(spark, sf_dir):
     return analytics.repo_map(files, symbols, _calls(spark, sf_dir)).select("path", "node", "callers", F.col("nth").cast("long").alias("nth"))
 
 
-@query(f"WITH {TRADE_SQL}, m AS (SELECT c_custkey AS m FROM customer WHERE c_custkey <= 5 UNION ALL SELECT -s_suppkey - 1 FROM supplier WHERE s_suppkey <= 2) SELECT DISTINCT m, CASE WHEN src = m THEN dst ELSE src END AS other FROM edges JOIN m ON src = m OR dst = m")
+@query(f"WITH {TRADE_SQL}, m AS (SELECT c_custkey AS m FROM customer UNION ALL SELECT -s_suppkey - 1 FROM supplier) SELECT m, dst AS other FROM edges JOIN m ON src = m UNION SELECT m, src FROM edges JOIN m ON dst = m")
 def or_join_neighbours(spark, sf_dir):
     """The two directions as two equi-joins."""
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 5").select(F.col("c_custkey").alias("m"))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 2").select((-F.col("s_suppkey") - 1).alias("m"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("m"))
+    s = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey") - 1).alias("m"))
     e = graph.both_ways(trade(spark, sf_dir))
     return c.union(s).join(e, F.col("m") == F.col("src")).select("m", F.col("dst").alias("other")).distinct()
 
@@ -229,8 +232,8 @@ def innermost_range(spark, sf_dir):
     return retrieval.innermost(points, spans, "path")
 
 
-@query(f"WITH {SPANS_SQL}, a AS (SELECT * FROM spans WHERE span % 10 = 1), b AS (SELECT * FROM spans WHERE span % 10 = 2) SELECT a.path, a.span AS x, b.span AS y FROM a JOIN b ON a.path = b.path AND a.high + 3 >= b.low AND a.low - 3 <= b.high")
+@query(f"WITH {SPANS_SQL}, SELECT a.path, a.span AS x, b.span AS y FROM spans a JOIN spans b ON a.path = b.path AND a.span < b.span AND a.high + 3 >= b.low AND a.low - 3 <= b.high")
 def interval_overlap(spark, sf_dir):
     spans, _ = _spans(spark, sf_dir)
-    side = lambda k, n: spans.where(F.col("span") % 10 == k).select("path", F.col("span").alias(n), F.col("low").alias(f"{n}_low"), F.col("high").alias(f"{n}_high"))
-    return retrieval.overlapping(side(1, "x"), side(2, "y"), "path", 3).select("path", "x", "y")
+    side = lambda n: spans.select("path", F.col("span").alias(n), F.col("low").alias(f"{n}_low"), F.col("high").alias(f"{n}_high"))
+    return retrieval.overlapping(side("x"), side("y"), "path", 3).where("x < y").select("path", "x", "y")

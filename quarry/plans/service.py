@@ -32,10 +32,9 @@ def _now(rows):
     return rows.crossJoin(F.broadcast(rows.agg(F.max("ts").alias("now"))))  # one row
 
 
-@query(f"WITH {JOBS_SQL} SELECT id, kind, (row_number() OVER (PARTITION BY kind ORDER BY ts, id) - 1)::BIGINT AS position FROM jobs WHERE id % 5 = 0")
+@query(f"WITH {JOBS_SQL} SELECT id, kind, (row_number() OVER (PARTITION BY kind ORDER BY ts, id) - 1)::BIGINT AS position FROM jobs")
 def queue_position(spark, sf_dir):
-    """Every fifth event is a queued job."""
-    return jobs.queue_position(job_rows(spark, sf_dir).where("id % 5 = 0")).withColumn("position", F.col("position").cast("long"))
+    return jobs.queue_position(job_rows(spark, sf_dir)).withColumn("position", F.col("position").cast("long"))
 
 
 @query(f"WITH {JOBS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY kind, client ORDER BY ts DESC, id DESC) AS k FROM jobs WHERE ts > {NOW} - INTERVAL 14 DAY) SELECT kind, client, id FROM r WHERE k = 1")
@@ -108,26 +107,47 @@ def changed_symbols(spark, sf_dir):
     return change.changed_symbols(symbols, lines, "path")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id // 40 AS change, doc_id AS id, coalesce(n_chars, 0) AS size,
+  row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id % 5 = 0, coalesce(n_chars, 0) DESC, doc_id) AS k FROM documents),
+r AS (SELECT change, 0::BIGINT AS k, NULL::BIGINT AS id, 0::BIGINT AS files, 0::BIGINT AS lines, false AS admitted FROM d GROUP BY change
+  UNION ALL
+  SELECT d.change, d.k, d.id, r.files + (r.files < 20 AND r.lines + d.size <= 30000)::INT, r.lines + CASE WHEN r.files < 20 AND r.lines + d.size <= 30000 THEN d.size ELSE 0 END, r.files < 20 AND r.lines + d.size <= 30000
+  FROM r JOIN d ON d.change = r.change AND d.k = r.k + 1)
+SELECT change::VARCHAR AS "group", id, admitted FROM r WHERE k > 0""")
 def admit_budget(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("group"), F.col("doc_id").alias("id"), (F.col("doc_id") % 5 == 0).alias("is_test"), F.coalesce("n_chars", F.lit(0)).alias("size"))
-    return change.admit(d, 50, 30_000)
+    """Forty documents are a change."""
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 40).cast("string").alias("group"), F.col("doc_id").alias("id"), (F.col("doc_id") % 5 == 0).alias("is_test"), F.coalesce("n_chars", F.lit(0)).alias("size"))
+    return change.admit(d, 20, 30_000).select("group", "id", "admitted")
+
+
+FINDINGS_SQL = """f AS (SELECT l_orderkey AS review, (l_orderkey * 10 + l_linenumber)::BIGINT AS id, min(l_returnflag) AS path, min(l_linestatus) AS category, (min(l_suppkey) * 3 % 97)::BIGINT AS low, (min(l_suppkey) * 3 % 97 + floor(min(l_quantity)))::BIGINT AS high FROM lineitem GROUP BY l_orderkey, l_linenumber),
+o AS (SELECT *, row_number() OVER (PARTITION BY review ORDER BY id) AS k FROM f)"""
+
+
+def _greedy_sql(clash: str) -> str:
+    return f"""WITH RECURSIVE {FINDINGS_SQL},
+r AS (SELECT review, 0::BIGINT AS k, NULL::BIGINT AS id, []::STRUCT(path VARCHAR, category VARCHAR, low BIGINT, high BIGINT)[] AS seen, false AS kept FROM o GROUP BY review
+  UNION ALL
+  SELECT o.review, o.k, o.id, CASE WHEN ok THEN list_append(seen, {{'path': o.path, 'category': o.category, 'low': o.low, 'high': o.high}}) ELSE seen END, ok
+  FROM (SELECT o.*, r.seen, len(list_filter(r.seen, lambda s: {clash})) = 0 AS ok FROM r JOIN o ON o.review = r.review AND o.k = r.k + 1) o)
+SELECT review, id, kept FROM r WHERE k > 0"""
 
 
 def _findings(spark, sf_dir):
-    i = table(spark, sf_dir, "lineitem")
+    named = [F.min(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_suppkey", "l_quantity")]
+    i = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*named)
     low = (F.col("l_suppkey") * 3 % 97).cast("long")
     return i.select(F.col("l_orderkey").alias("review"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), F.col("l_returnflag").alias("path"), F.col("l_linestatus").alias("category"), low.alias("low"), (low + F.col("l_quantity").cast("long")).alias("high"))
 
 
-@query()
+@query(_greedy_sql("s.path = o.path AND s.category = o.category AND o.low <= s.high AND s.low <= o.high"))
 def dedupe_findings(spark, sf_dir):
-    return change.collapse_findings(_findings(spark, sf_dir))
+    return change.collapse_findings(_findings(spark, sf_dir)).select("review", "id", "kept")
 
 
-@query()
+@query(_greedy_sql("s.path = o.path AND s.low <= o.low AND o.high <= s.high"))
 def span_dedupe(spark, sf_dir):
-    return change.collapse_spans(_findings(spark, sf_dir))
+    return change.collapse_spans(_findings(spark, sf_dir)).select("review", "id", "kept")
 
 
 @query("""WITH f AS (SELECT doc_id AS id, 's' || (doc_id % 23) AS path, doc_id % 40 AS line, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 END AS cite FROM labels),
@@ -145,12 +165,12 @@ def ground_findings(spark, sf_dir):
     return out.withColumn("problems", F.array_join("problems", "; "))
 
 
-@query("""WITH f AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'low' ELSE 'high' END AS severity FROM labels), v AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'confirmed' ELSE 'rejected' END AS verdict, CASE WHEN toxic = 1 THEN 'critical' END AS severity FROM labels WHERE doc_id % 2 = 0)
+@query("""WITH f AS (SELECT doc_id AS id, CASE WHEN quality = 1 THEN 'low' ELSE 'high' END AS severity FROM labels), v AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'confirmed' ELSE 'rejected' END AS verdict, CASE WHEN toxic = 1 THEN 'critical' END AS severity FROM labels WHERE quality = 1)
 SELECT id, coalesce(v.severity, f.severity) AS severity, coalesce(verdict, 'uncertain') AS verdict, coalesce(verdict, 'uncertain') = 'confirmed' AS shown FROM f LEFT JOIN v USING (id)""")
 def verify_join(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     f = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "low").otherwise("high").alias("severity"))
-    v = labels.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "confirmed").otherwise("rejected").alias("verdict"), F.when(F.col("toxic") == 1, "critical").alias("severity"))
+    v = labels.where("quality = 1").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "confirmed").otherwise("rejected").alias("verdict"), F.when(F.col("toxic") == 1, "critical").alias("severity"))
     return change.verified(f, v).drop("order")
 
 
@@ -207,22 +227,68 @@ def json_fields(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(text.json_object(F.col("props")), "$.k").cast("long").alias("k"))
 
 
-def _streamed(spark, sf_dir, make):
-    """Runs a stream over the events to its end and returns what it wrote."""
+def _streamed(spark, sf_dir, make, mode="append", by_day=False):
+    """Runs a stream over the events to its end and returns what it wrote. With ``by_day`` the events
+    come in files of a few days, in order, each a batch."""
     store = Written(spark, "stream")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events")
+    if by_day:
+        days = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (5 * 86400))
+        folder = f"{store.root}/days"
+        events.withColumn("day", days).repartition("day").sortWithinPartitions("ts").write.partitionBy("day").parquet(folder)
+        for n, (part,) in enumerate(spark.read.parquet(folder).select("day").distinct().orderBy("day").collect()):  # a few days each
+            spark.read.schema(events.schema).parquet(f"{folder}/day={part}").coalesce(1).write.mode("append").parquet(f"{store.root}/ordered")
+        source = stream.event_stream(spark, f"{store.root}/ordered", events.schema)
+    else:
+        source = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parque[t]")
     out = f"{store.root}/out"
-    result = make(source)
-    stream.drain(result, f"{store.root}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    result = make(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    # in complete mode each batch has all rows: the last one stays
+    name = (lambda n: out) if mode == "complete" else (lambda n: f"{out}/batch={n}")
+    stream.drain(result, f"{store.root}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(name(n)), mode)
+    if mode == "complete":
+        return spark.read.schema(result.schema).parquet(out)
     return spark.read.schema(result.schema).option("basePath", out).parquet(f"{out}/batch=*")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_counts(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: stream.windowed_counts(e, "1 day", "1 hour"))
+    """All windows, those that the watermark has not passed too."""
+    counts = _streamed(spark, sf_dir, lambda e: stream.windowed_counts(e, "1 day", "1 hour"), "complete")
+    return counts.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+TTL_SQL = """WITH RECURSIVE kept AS (
+  SELECT event_type, user_id, min(ts) AS ts FROM events GROUP BY 1, 2
+  UNION ALL
+  SELECT e.event_type, e.user_id, min(e.ts) FROM kept k JOIN events e ON e.event_type = k.event_type AND e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL 14 DAY GROUP BY 1, 2)"""
+
+
+@query(f"{TTL_SQL} SELECT event_type, user_id, epoch_us(ts) AS ts FROM kept")
 def stream_dedupe(spark, sf_dir):
-    return _streamed(spark, sf_dir, lambda e: stream.without_duplicates(e.select("event_type", "user_id", "ts"), ["event_type", "user_id"])).select("event_type", "user_id")
+    """A job of the same kind and client is not run again within 14 days."""
+    rows = _streamed(spark, sf_dir, lambda e: stream.without_duplicates(e, ["event_type", "user_id"]), by_day=True)
+    return rows.select("event_type", "user_id", F.unix_micros("ts").alias("ts"))
+
+
+@query(f"{TTL_SQL} SELECT event_type AS kind, user_id AS client, epoch_us(ts) AS ts FROM kept")
+def ttl_dedupe(spark, sf_dir):
+    return jobs.first_in_ttl(job_rows(spark, sf_dir), ["kind", "client"]).select("kind", "client", F.unix_micros("ts").alias("ts"))
+
+
+STATUS_SQL = "(CASE id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' ELSE 'done' END)"
+
+
+def _states(spark, sf_dir):
+    status = F.when(F.col("id") % 4 == 0, "queued").when(F.col("id") % 4 == 1, "running").otherwise("done")
+    return job_rows(spark, sf_dir).withColumn("status", status)
+
+
+@query(f"WITH {JOBS_SQL} SELECT kind, arg_min(id, (ts, id)) AS id FROM jobs WHERE {STATUS_SQL} = 'queued' GROUP BY kind")
+def claim_oldest(spark, sf_dir):
+    return jobs.claimed(_states(spark, sf_dir))
+
+
+@query(f"WITH {JOBS_SQL} SELECT id, CASE WHEN {STATUS_SQL} = 'running' AND ts < {NOW} - INTERVAL 1800 SECOND THEN 'failed' ELSE {STATUS_SQL} END AS status FROM jobs")
+def stale_jobs(spark, sf_dir):
+    return jobs.stale(_now(_states(spark, sf_dir)), F.col("now")).select("id", "status")

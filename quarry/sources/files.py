@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import is_parsed, is_test_path, language
 
 #: Folders that hold no sources, and the limits of an admissible file.
-EXCLUDED = ["node_modules", "vendor", "dist", "build", "target", "venv", "__pycache__", "site-packages", "third_party", "coverage", "out", "bin", "obj"]
+EXCLUDED = [".git", "node_modules", "vendor", "third_party", "dist", "build", ".venv", "venv", "__pycache__", ".tox", ".mypy_cache", "site-packages", "target", ".next", "coverage"]
 MOST_BYTES, MOST_MEAN_LINE, NUL_WITHIN = 400_000, 400, 8_000
 
 
@@ -24,8 +25,8 @@ def working_tree(spark: SparkSession, root: str) -> DataFrame:
     rows = rows.where(~F.arrays_overlap(parts, F.array(*[F.lit(x) for x in EXCLUDED])) & ~F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: p.startswith(".")))
     head = F.substring("content", 1, NUL_WITHIN)
     rows = rows.where(~F.hex(head).rlike("^(..)*00"))
-    text = F.try_validate_utf8(F.decode("content", "UTF-8"))
-    rows = rows.withColumn("content", F.coalesce(text, F.lit(""))).withColumn("loc", F.size(F.split("content", "\n")))
+    # bytes that are no UTF-8 are replaced, one by one
+    rows = rows.withColumn("content", F.make_valid_utf8(F.col("content").cast("string"))).withColumn("loc", F.size(F.split("content", "\n")))
     rows = rows.where(F.col("length") / F.col("loc") <= MOST_MEAN_LINE)
     return rows.withColumns({"lang": language(F.col("path")), "parsed": is_parsed(F.col("path")), "is_test": is_test_path(F.col("path"))}).where("lang is not null").drop("length")
 
@@ -39,6 +40,37 @@ def git_log(spark: SparkSession, log: str) -> DataFrame:
     return rows.where("path <> ''")
 
 
+def file_log(commits: DataFrame, limit: int = 8) -> DataFrame:
+    """path, sha, author, ts, nth: the last ``limit`` commits (sha, author, ts, path) of each path."""
+    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("ts"), "sha"))
+    return commits.withColumn("nth", nth).where(F.col("nth") <= limit)
+
+
+def json_records(spark: SparkSession, where: str, schema=None) -> DataFrame:
+    """Rows of JSON files, each one object or an array of them: manifests, payloads of a code host,
+    analyzer reports. A file that is no JSON gives a row of nulls with a schema, an error without."""
+    reader = spark.read.option("multiLine", "true")
+    return (reader.schema(schema) if schema is not None else reader).json(where)
+
+
+def write_csv(df: DataFrame, where: str) -> None:
+    """Rows as CSV with a header, quotes doubled inside quotes."""
+    df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(where)
+
+
+def write_json(df: DataFrame, where: str) -> None:
+    """One JSON object a line."""
+    df.write.mode("overwrite").json(where)
+
+
+def delete_snapshot(spark: SparkSession, tables: list[str], snapshot: int, column: str = "snapshot_id") -> None:
+    """Drops a snapshot's partition of every table (a folder of ``write_snapshot``)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(f"{table.rstrip('/')}/{column}={int(snapshot)}")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def write_snapshot(df: DataFrame, where: str, partition: str = "snapshot_id") -> None:
     """Replaces the partitions that ``df`` holds, and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(where)
@@ -48,9 +80,11 @@ def append_new(spark: SparkSession, df: DataFrame, where: str, key: list[str]) -
     """Appends the rows whose key the table at ``where`` does not hold; returns them."""
     new = df.dropDuplicates(key)
     try:
-        new = new.join(spark.read.parquet(where).select(*key), key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        held = spark.read.parquet(where).select(*key)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
+    else:
+        new = new.join(held, key, "left_anti")
     new.write.mode("append").parquet(where)
     return new

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import paths, text
-from quarry.operators import change, chunks, evaluate, graph, history, resolve, retrieval
+from quarry.operators import change, chunks, embedding, evaluate, graph, history, resolve, retrieval, review, search
+from quarry.sources import files
 
 
 def one(spark, column, **values):
@@ -35,15 +36,24 @@ def test_paths(spark):
 
 
 def test_links(spark):
-    assert one(spark, paths.repository_of(F.lit("https://host.org/A/b"))) == "a/b"
-    assert tuple(one(spark, paths.pull_of(F.lit("https://host.org/Owner/repo/pull/12")))) == ("owner/repo", 12)
-    for bad in ("https://host.org/a", "ftp://host.org/a/b", "host.org/a/b", "https://host.org/a/b/c/d"):
+    assert one(spark, paths.repository_of(F.lit("https://github.com/A/b/tree/main/x"))) == "a/b"
+    assert tuple(one(spark, paths.pull_of(F.lit("https://github.com/Owner/repo/pull/12/files")))) == ("owner/repo", 12)
+    for bad in ("https://github.com/a", "ftp://github.com/a/b", "github.com/a/b", "https://github.com/a/b/c/d", "https://host.org/a/b"):
         assert one(spark, paths.repository_of(F.lit(bad))) is None
 
 
-def test_patch():
-    (h,) = change.parse_patch("@@ -10,3 +10,4 @@\n a\n-b\n+c\n+d\n e")
-    assert h["added"] == [11, 12] and h["removed"] == [11]
+def test_patch(spark):
+    patch = "@@ -10,3 +10,4 @@ def f\n a\n-b\n+c\n+d\n e\n@@ -30 +31,0 @@\n-x\n\\ No newline"
+    rows = spark.createDataFrame([(1, patch), (2, None), (3, "")], "id long, patch string")
+    h, g = change.hunks(rows).orderBy("hunk").collect()
+    assert h["added"] == [11, 12] and h["removed"] == [11] and h["header"] == "def f" and (h["old_start"], h["old_len"], h["new_len"]) == (10, 3, 4)
+    assert g["removed"] == [30] and g["added"] == [] and (g["old_len"], g["new_len"]) == (1, 0)
+    text = change.annotated(change.hunks(rows)).first()["text"].split("\n")
+    assert text == ["@@ old 10,3 new 10,4 @@ def f", "   10   a", "      - b", "   11 + c", "   12 + d", "   13   e", "@@ old 30,1 new 31,0 @@ ", "      - x"]
+    back = one(spark, change.reversed_patch(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n" + patch)))
+    assert back == "@@ -10,4 +10,3 @@ def f\n a\n+b\n-c\n-d\n e\n@@ -31,0 +30 @@\n+x\n\\ No newline\n"
+    assert [tuple(r)[1:] for r in change.gold_ranges(change.hunks(rows)).orderBy("hunk").collect()] == [(0, 13, 13), (1, 33, 33)]
+    assert [tuple(r)[1:] for r in change.gold_regions(change.hunks(rows)).orderBy("hunk").collect()] == [(0, 11, 12), (1, 33, 35)]
 
 
 def test_parse_python():
@@ -159,10 +169,89 @@ def test_dense_search_asks_for_every_hundredth(spark, tmp_path):
 
     rng = random.Random(3)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(1250)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in catalog.QUERIES["dense_topk_hundredths"](spark, str(tmp_path)).collect()}
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query"], r["rank"]): (r["id"], r["score"]) for r in catalog.QUERIES["dense_topk"](spark, str(tmp_path)).collect()}
     expected = {}
     for q, a in rows[::100]:
         best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows)[:10]
         expected |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(best)}
     assert got == expected and len(got) == 130 and len(rows) > 2 * retrieval.BLOCK
+
+
+def test_hybrid_search_over_all_channels(spark):
+    """A small code base: each query is answered through another channel."""
+    chunks = spark.createDataFrame(
+        [(1, "store.py", 1, 20, "store.py :: class Cart", "class Cart:\n    def addItem(self, item): ..."), (2, "store.py", 21, 40, "store.py :: in Cart", "    def total_price(self): return sum(self.items)"),
+         (3, "tax.py", 1, 30, "tax.py", "def vat(amount): return amount * RATE"), (4, "tests/test_store.py", 1, 9, "tests/test_store.py", "def test_it(): assert Cart().total_price() == 0"), (5, "notes.md", 1, 3, "notes.md", "unrelated words on gardens")],
+        "chunk long, path string, low long, high long, header string, text string",
+    )
+    symbols = spark.createDataFrame(
+        [(10, "store.py", "store.py", "store.py", "module", 1, 40), (11, "store.py", "Cart", "Cart", "class", 1, 40), (12, "store.py", "total_price", "Cart.total_price", "method", 25, 30), (20, "tax.py", "tax.py", "tax.py", "module", 1, 30),
+         (21, "tax.py", "vat", "vat", "function", 1, 3), (40, "tests/test_store.py", "test_store.py", "tests/test_store.py", "module", 1, 9), (41, "tests/test_store.py", "test_it", "test_it", "function", 1, 9)],
+        "symbol long, path string, name string, qualname string, kind string, low long, high long",
+    )
+    edges = spark.createDataFrame([("tests", 41, 12, 0.9), ("calls", 12, 21, 0.6), ("calls", 12, 11, 0.3), ("cochange", 10, 20, 0.4)], "kind string, src long, dst long, weight double")
+    queries = spark.createDataFrame([("lex", "item"), ("sym", "how does Cart.total_price work"), ("none", "the of")], "query string, text string").withColumn("q", embedding.hashed_vector(F.col("text")))
+    vectors = chunks.select(F.col("chunk").alias("id"), embedding.hashed_vector(F.col("text")).alias("v"))
+
+    def ids(**more):
+        rows = search.hybrid(queries, chunks, symbols, edges, **more).orderBy("query", "place").collect()
+        return {q: [r["id"] for r in rows if r["query"] == q] for q in ("lex", "sym", "none")}, rows
+
+    lexical, rows = ids(channels=("lexical",))
+    assert lexical["lex"] == [1] and lexical["none"] == [] and set(lexical["sym"]) == {1, 2, 4}
+    assert all(r["text"] and r["header"] for r in rows)
+    named, _ = ids(channels=("symbols",))
+    assert named["sym"] == [2, 1] and named["lex"] == []
+    linked, _ = ids(channels=("symbols", "graph"))
+    assert set(linked["sym"]) == {1, 2, 3, 4}
+    everything, _ = ids(vectors=vectors, k=2)
+    assert everything["sym"][0] == 2 and len(everything["sym"]) == 2 and everything["lex"][0] == 1
+    gone, _ = ids(channels=("lexical",), exclude=spark.createDataFrame([("lex", 1)], "query string, id long"))
+    assert gone["lex"] == []
+    stub = lambda hits: hits.select("query", "id", F.when(F.col("id") == 4, 1.0).otherwise(0.0).alias("rr"))
+    reranked, _ = ids(channels=("lexical", "symbols"), rerank=stub)
+    assert reranked["sym"][0] == 4
+    seeded, _ = ids(channels=("graph",), seeds=spark.createDataFrame([("lex", 12)], "query string, symbol long"))
+    assert set(seeded["lex"]) == {3, 4}
+
+
+def test_embedding_progress(spark):
+    rows = spark.createDataFrame([(1, "h1", "a b", 0.1, False), (2, "h1", "a b", 0.5, False), (3, "h2", "c", 0.9, False), (4, "h3", "d", 0.8, False), (5, "h4", "e", 1.0, True)], "chunk long, card_hash string, card string, priority double, embedded boolean")
+    cache = spark.createDataFrame([("h3", "m", [1.0]), ("h2", "other", [1.0])], "card_hash string, model string, vector array<double>")
+    new, done = embedding.progress(rows, cache, "m", 3, embedding.hashed_vector)
+    assert sorted(r["card_hash"] for r in new.collect()) == ["h1", "h2"] and sorted(r["chunk"] for r in done.collect()) == [2, 3, 4]
+    assert all(abs(sum(x * x for x in r["vector"]) - 1) < 1e-9 for r in new.collect())
+
+
+def test_report(spark):
+    reviews = spark.createDataFrame([(1, "#1: a", "fine", "low"), (2, "#2: b", "clean", None)], "id long, title string, summary string, risk string")
+    rows = spark.createDataFrame([(1, 0, "a.py", 3, "major", "t", "why", "+x\n-y"), (1, 1, "b.py", 4, "minor", "u", "so", None)], "id long, nth int, path string, line_start int, severity string, title string, explanation string, suggestion string")
+    out = {r["id"]: r["text"] for r in review.markdown(reviews, rows).collect()}
+    assert "**MAJOR** `a.py:3` t" in out[1] and "```diff\n+x\n-y\n```" in out[1] and "**MINOR** `b.py:4` u\n\nso" in out[1] and "**Risk:** low" in out[1]
+    assert out[2].endswith("No blocking issues found.") and "**Risk:** unknown" in out[2]
+
+
+def test_sinks_and_sources(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'say "x", y', 7), (2, None, 8)], "id long, label string, snapshot_id long")
+    files.write_csv(rows, f"{tmp_path}/csv")
+    assert spark.read.option("header", "true").option("escape", '"').csv(f"{tmp_path}/csv").where("id = 1").first()["label"] == 'say "x", y'
+    files.write_json(rows, f"{tmp_path}/json")
+    assert files.json_records(spark, f"{tmp_path}/json", "id long, label string").count() == 2
+    files.write_snapshot(rows, f"{tmp_path}/t")
+    files.write_snapshot(rows.where("id = 2"), f"{tmp_path}/t")
+    files.delete_snapshot(spark, [f"{tmp_path}/t"], 7)
+    assert [r["id"] for r in spark.read.parquet(f"{tmp_path}/t").collect()] == [2]
+    assert files.append_new(spark, rows, f"{tmp_path}/n", ["id"]).count() == 2
+    assert files.append_new(spark, rows, f"{tmp_path}/n", ["id"]).count() == 0
+
+
+def test_files_with_bad_bytes(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "vendor").mkdir()
+    (tmp_path / "src" / "latin.py").write_bytes("x = 'caf\xe9'\n".encode("latin-1"))
+    (tmp_path / "out" / "kept.py").write_text("y = 1\n")
+    (tmp_path / "vendor" / "gone.py").write_text("z = 1\n")
+    got = {r["path"]: r["content"] for r in files.working_tree(spark, str(tmp_path)).collect()}
+    assert got == {"src/latin.py": "x = 'caf�'\n", "out/kept.py": "y = 1\n"}
