@@ -238,16 +238,14 @@ class NearDuplicates:
     def drawn_pairs(self, lists: DataFrame) -> DataFrame:
         """For each member a few partners: DRAWS times lists are dealt by a hash of the member into
         parts of about PART, and of the parts' heads the one is taken that shares most parts."""
-        out = []
-        for seed in range(DRAWS):
-            mark = F.xxhash64(F.lit(seed), "rep")
-            parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / PART, F.lit(1.0))))).cast("long")
-            dealt = lists.select("key", mark.bitwiseAND(parts - 1).alias("part"), "rep", "n", "component", mark.alias("mark"))
-            heads = dealt.groupBy("key", "part").agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")), F.struct("mark", "rep")).alias("head")).select("key", "part", "head.*")
-            pairs = dealt.join(heads, ["key", "part"]).where((F.col("component") != F.col("c_a")) & sizes_allow(F.col("n"), F.col("n_a"), self.percent))
-            pairs = pairs.groupBy(F.col("rep").alias("b"), "a").agg(F.count("*").alias("overlap"))
-            out.append(pairs.groupBy("b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a")))
-        pairs = reduce(DataFrame.unionByName, out)
+        parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / PART, F.lit(1.0))))).cast("long")
+        marks = F.array(*[F.struct(F.lit(seed).alias("seed"), F.xxhash64(F.lit(seed), "rep").alias("mark")) for seed in range(DRAWS)])
+        dealt = lists.select("key", "rep", "n", "component", parts.alias("parts"), F.inline(marks)).withColumn("part", F.col("mark").bitwiseAND(F.col("parts") - 1))
+        place = ["seed", "key", "part"]
+        heads = dealt.groupBy(*place).agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")), F.struct("mark", "rep")).alias("head")).select(*place, "head.*")
+        pairs = dealt.join(heads, place).where((F.col("component") != F.col("c_a")) & sizes_allow(F.col("n"), F.col("n_a"), self.percent))
+        pairs = pairs.groupBy("seed", F.col("rep").alias("b"), "a").agg(F.count("*").alias("overlap"))
+        pairs = pairs.groupBy("seed", "b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a"))
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def cross_pairs(self, lists: DataFrame) -> DataFrame:
