@@ -51,46 +51,23 @@ SHARD_IDS, BUFFER, BATCH, RATE = 4_000_000, 4096, 64, 0.01
 FIXED_POINT = 1 << 12
 #: Words whose counts every worker holds; the others' are joined.
 HEAD = 1 << 17
-CACHE_WORDS = 100_000
 SLICE = 1 << 20
 
 
 def coded(docs: DataFrame, tokenizer: str, end: int, id_type: str) -> DataFrame:
-    """``docs`` with ids, those of the lower-cased words and ``end``, as binary of ``id_type``."""
+    """``docs`` with ids, those of the lower-cased words, each after a space, and ``end``, as binary of
+    ``id_type``."""
     own = docs.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["ids binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, cache = byte_bpe(tokenizer), {}
+        encode = byte_bpe(tokenizer)
+        last = np.array([end], id_type).tobytes()
         for batch in sliced(batches, most=SLICE):
-            words = Words(batch.column("text"), lower=True)
-            found = words.array().dictionary_encode()
-            codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            parts = []
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            for word in found.dictionary.to_pylist():
-                ids = cache.get(word)
-                if ids is None:
-                    ids = np.frombuffer(encode(" " + word), "<u4").astype(id_type)
-                    if len(word) < 64:
-                        cache[word] = ids
-                parts.append(ids)
-            n_texts = batch.num_rows
-            size = np.array([len(p) for p in parts], np.int64)
-            flat = np.concatenate(parts) if parts else np.zeros(0, id_type)
-            begin = np.cumsum(size) - size
-            text = np.repeat(np.arange(n_texts), np.diff(words.first))
-            lengths = size[codes]
-            before = np.cumsum(lengths) - lengths
-            place = np.arange(int(lengths.sum()))
-            each = np.bincount(text, lengths, n_texts).astype(np.int64) + 1
-            stream = np.full(int(each.sum()), end, id_type)
-            stream[place + np.repeat(text, lengths)] = flat[place + np.repeat(begin[codes] - before, lengths)]
-            offsets = np.concatenate([[0], np.cumsum(each)]) * stream.itemsize
-            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_texts, [None, pa.py_buffer(offsets), pa.py_buffer(stream)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*own, "ids"])
-        del encode, cache
+            texts = Words(batch.column("text"), lower=True).joined().to_pylist()
+            ids = [(np.frombuffer(encode(" " + t), "<u4").astype(id_type).tobytes() if t else b"") + last for t in texts]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*own, "ids"])
+        del encode
         forget_encoders()
 
     return docs.mapInArrow(run, schema)
@@ -142,7 +119,7 @@ def _sums(docs: DataFrame, count, id_type: str, end: int) -> tuple[np.ndarray, n
             found = count(Streams(batch.column("ids"), id_type, end))
             waiting.append(found)
             size += len(found)
-            if size > 3_000_000:
+            if size > 1_500_000:
                 merge()
         if waiting:
             merge()
