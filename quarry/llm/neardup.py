@@ -236,16 +236,19 @@ class NearDuplicates:
         return named.join(per_list, "key").select("key", "rep", "n", "m", "component", "cross")
 
     def drawn_pairs(self, lists: DataFrame) -> DataFrame:
-        """For each member a few partners: DRAWS times lists are dealt by a hash of the member into
-        parts of about PART, and of the parts' heads the one is taken that shares most parts."""
+        """For each member DRAWS partners: lists are dealt at random into parts of about PART, and of
+        the smallest hashes of a part, by DRAWS hash functions, a member takes the smallest of all its
+        parts. So the members of a large group meet the same few partners, though no part is large."""
         parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / PART, F.lit(1.0))))).cast("long")
-        marks = F.array(*[F.struct(F.lit(seed).alias("seed"), F.xxhash64(F.lit(seed), "rep").alias("mark")) for seed in range(DRAWS)])
-        dealt = lists.select("key", "rep", "n", "component", parts.alias("parts"), F.inline(marks)).withColumn("part", F.col("mark").bitwiseAND(F.col("parts") - 1))
-        place = ["seed", "key", "part"]
-        heads = dealt.groupBy(*place).agg(F.min_by(F.struct(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")), F.struct("mark", "rep")).alias("head")).select(*place, "head.*")
-        pairs = dealt.join(heads, place).where((F.col("component") != F.col("c_a")) & sizes_allow(F.col("n"), F.col("n_a"), self.percent))
-        pairs = pairs.groupBy("seed", F.col("rep").alias("b"), "a").agg(F.count("*").alias("overlap"))
-        pairs = pairs.groupBy("seed", "b").agg(F.max_by("a", F.struct("overlap", -F.col("a"))).alias("a"))
+        dealt = lists.select("key", F.xxhash64("key", "rep").bitwiseAND(parts - 1).alias("part"), "rep", "n", "component")
+        heads = dealt.groupBy("key", "part").agg(*[F.min(F.struct(F.xxhash64(F.lit(i), "rep").alias("mark"), "rep", "n", "component")).alias(f"h{i}") for i in range(DRAWS)])
+
+        def taken(i: int) -> Column:
+            head = F.col(f"h{i}")
+            return F.min(F.when((head["component"] != F.col("component")) & sizes_allow(F.col("n"), head["n"], self.percent), F.struct(head["mark"].alias("mark"), head["rep"].alias("rep")))).alias(f"t{i}")
+
+        found = dealt.join(heads, ["key", "part"]).groupBy(F.col("rep").alias("b")).agg(*[taken(i) for i in range(DRAWS)])
+        pairs = found.select("b", F.explode(F.array_compact(F.array(*[F.col(f"t{i}.rep") for i in range(DRAWS)]))).alias("a"))
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def cross_pairs(self, lists: DataFrame) -> DataFrame:
