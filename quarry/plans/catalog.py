@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import graphs, review, search, service
+from quarry.plans import code, graphs, review, search, service
 
-QUERIES = {**search.Q, **graphs.Q, **service.Q, **review.Q}
-ORACLE = {**search.SQL, **graphs.SQL, **service.SQL, **review.SQL}
+QUERIES = {**search.Q, **graphs.Q, **service.Q, **review.Q, **code.Q}
+ORACLE = {**search.SQL, **graphs.SQL, **service.SQL, **review.SQL, **code.SQL}
