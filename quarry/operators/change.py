@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,33 +124,67 @@ def admit(files: DataFrame, most_files: int = 50, most_lines: int = 3000) -> Dat
     return files.select("group", "id", "is_test", "size").groupBy("group").applyInPandas(run, "group string, id long, size long, admitted boolean")
 
 
-def _greedy(key: str, order: list[str], clash, schema: str):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        flags = []
-        for row in frame.sort_values(order).itertuples():
-            ok = not any(clash(row, other) for other in kept)
-            flags.append(ok)
-            if ok:
-                kept.append(row)
-        return frame.sort_values(order).assign(kept=flags)
+def _kept_first(rows: DataFrame, by: list[str], below: str, least: str) -> DataFrame:
+    """``rows`` with kept: false for those that clash with an earlier kept one, in the order of id, of
+    the same ``by``: one whose low is at most the row's ``below`` and whose high is at least its
+    ``least``. A row with a null among these clashes with nothing.
 
-    return lambda df: df.groupBy(key).applyInPandas(run, schema)
+    Sorted rows come as a stream. Of a group only those kept spans are held that no other one reaches
+    beyond on both sides, so low and high ascend together, and a row costs one bisection.
+    """
+    need = [*by, "low", "high"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", kept boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, lows, highs = None, [], []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            whole, new = np.ones(n, bool), np.zeros(n, bool)
+            for c in need:
+                whole &= batch.column(c).is_valid().to_numpy(zero_copy_only=False)
+            for c in by:
+                x = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] |= x[1:] != x[:-1]
+            new[0] = [batch.column(c)[0].as_py() for c in by] != before
+            before = [batch.column(c)[n - 1].as_py() for c in by]
+            kept = np.ones(n, bool)
+            # the only row of a group stays; what follows the last one is not known yet
+            at = np.flatnonzero(~(new & np.append(new[1:], False)))
+            columns = [x[at].tolist() for x in (new, whole, *(batch.column(c).fill_null(0).to_numpy() for c in ("low", "high", below, least)))]
+            for i, first, ok, low, high, x, y in zip(at.tolist(), *columns, strict=True):
+                if first:
+                    lows, highs = [], []
+                if not ok:
+                    continue
+                k = bisect_right(lows, x)
+                if k and highs[k - 1] >= y:
+                    kept[i] = False
+                    continue
+                k = bisect_right(lows, low)
+                if not k or highs[k - 1] < high:
+                    own = slice(bisect_left(lows, low), bisect_right(highs, high))
+                    own = slice(own.start, max(own.start, own.stop))
+                    lows[own], highs[own] = [low], [high]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept)], names=[*batch.schema.names, "kept"])
+
+    order = [*by, F.asc_nulls_last("id")]
+    return rows.repartition(*by).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def collapse_findings(findings: DataFrame) -> DataFrame:
     """findings (review, id, path, category, low, high) with kept: false for those that overlap an
-    earlier kept one of the same path and category."""
-    clash = lambda a, b: a.path == b.path and a.category == b.category and a.low <= b.high and b.low <= a.high
-    f = findings.select("review", "id", "path", "category", "low", "high")
-    return _greedy("review", ["id"], clash, "review long, id long, path string, category string, low long, high long, kept boolean")(f)
+    earlier kept one of the same review, path and category."""
+    f = findings.select("review", "id", "path", "category", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+    return _kept_first(f, ["review", "path", "category"], "high", "low")
 
 
 def collapse_spans(spans: DataFrame) -> DataFrame:
-    """spans (review, id, path, low, high) with kept: false for those inside an earlier kept one."""
-    clash = lambda a, b: a.path == b.path and b.low <= a.low and a.high <= b.high
-    s = spans.select("review", "id", "path", "low", "high")
-    return _greedy("review", ["id"], clash, "review long, id long, path string, low long, high long, kept boolean")(s)
+    """spans (review, id, path, low, high) with kept: false for those inside an earlier kept one of the
+    same review and path."""
+    s = spans.select("review", "id", "path", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+    return _kept_first(s, ["review", "path"], "low", "high")
 
 
 def ground(findings: DataFrame, files: DataFrame, ranges: DataFrame, evidence: DataFrame, slack: int = 10) -> DataFrame:

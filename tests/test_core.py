@@ -135,6 +135,37 @@ def test_admit_skips_but_goes_on(spark):
     assert got == {1: True, 2: False, 3: True, 4: False}
 
 
+@pytest.mark.parametrize("of", ["findings", "spans"])
+def test_earlier_findings_win(spark, of):
+    """Against every pair; one review holds many, spans may be inverted, nulls clash with nothing."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        low = rng.randrange(60)
+        rows.append((0 if i % 3 else rng.randrange(9), i, rng.choice("ab"), rng.choice(["x", "x", None]), rng.choice([low, low, low, None]), low + rng.randrange(-4, 9)))
+    rows += [(10, 5, None, "x", 1, 9), (10, 6, None, "x", 2, 3)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "review long, id long, path string, category string, low long, high long")
+
+    def clash(a, b):
+        if of == "findings":
+            own = [a[2:4], b[2:4]]
+            meet = lambda: a[4] <= b[5] and b[4] <= a[5]
+        else:
+            own = [a[2:3], b[2:3]]
+            meet = lambda: b[4] <= a[4] and a[5] <= b[5]
+        return own[0] == own[1] and None not in (*own[0], a[4], a[5], b[4], b[5]) and meet()
+
+    expected, kept = {}, {}
+    for row in sorted(rows):
+        held = kept.setdefault(row[0], [])
+        expected[row[1]] = not any(clash(row, other) for other in held)
+        if expected[row[1]]:
+            held.append(row)
+    found = change.collapse_findings(df) if of == "findings" else change.collapse_spans(df)
+    assert {r["id"]: r["kept"] for r in found.collect()} == expected
+
+
 def test_metrics(spark):
     hits = spark.createDataFrame([(1, 10, 2), (1, 11, 7)], "query long, id long, rank long")
     gold = spark.createDataFrame([(1, 10), (1, 11)], "query long, id long")
