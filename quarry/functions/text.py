@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,9 +50,45 @@ def _until(groups: Column, limit: int) -> Column:
     return F.aggregate(groups, empty, step)
 
 
+#: Names whose parts a worker remembers.
+REMEMBERED = 1 << 17
+
+
+def _terms_udf(limit: int, split: bool):
+    """The rule of ``identifier_terms``, text by text; with ``split``, terms are cut at underscores."""
+
+    def terms(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names, parts_of, groups = re.compile(IDENTIFIER), re.compile(CAMEL), {}
+        for column in texts:
+            out = []
+            for x in column.to_pylist():
+                seen: dict[str, None] = {}
+                for name in dict.fromkeys(names.findall(x or "")):
+                    own = groups.get(name)
+                    if own is None:
+                        parts = [p.lower() for p in parts_of.findall(name)]
+                        own = [name.lower(), *(p for p in parts if len(p) > 1 and len(parts) > 1)]
+                        if len(groups) < REMEMBERED:
+                            groups[name] = own
+                    if own[0] not in seen:
+                        seen.update(dict.fromkeys(own))
+                        if len(seen) >= limit:
+                            break
+                out.append([p for t in seen for p in t.split("_") if p] if split else list(seen))
+            yield pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(terms, "array<string>")
+
+
 def identifier_terms(text: Column, limit: int = 400) -> Column:
-    """Ordered distinct identifiers and their parts, for indexing."""
-    return _until(F.transform(F.array_distinct(identifiers(text)), lambda x: with_parts(x, 2)), limit)
+    """Ordered distinct identifiers and their parts, for indexing: name by name until there are
+    ``limit``; the last one counts whole, one whose first term is there already is passed over."""
+    return _terms_udf(limit, False)(text)
+
+
+def identifier_tokens(text: Column, limit: int = 400) -> Column:
+    """The full-text tokens of ``identifier_terms``, in order."""
+    return _terms_udf(limit, True)(text)
 
 
 def query_terms(text: Column, limit: int = 24) -> Column:

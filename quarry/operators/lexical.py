@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import Written
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -50,21 +52,29 @@ def search(docs: DataFrame, id_column: str, fields: dict[str, tuple[Column, floa
 
     ``fields``: name -> (array of tokens, weight); tf is the weighted count, the length that of all
     fields. Tokens that no query has go before anything is counted, and a document's length goes with
-    its tokens, so only occurrences of search terms are shuffled; N and the mean length are one row of
-    a second pass. A query's terms are few; the set of all is joined to the tokens, broadcast only when
-    Spark finds it small.
+    its tokens, so only occurrences of search terms are shuffled, and one null term a document for N
+    and the mean length. The counts are written, so texts are cut into tokens once. A query's terms are
+    few; they are written too, so that Spark knows their size: it broadcasts the set of all to the
+    tokens when it is small, and no token is shuffled before the join.
     """
     arrays = docs.select(F.col(id_column).alias("doc"), *[c.alias(f"f_{name}") for name, (c, _) in fields.items()])
     length = reduce(Column.__add__, [F.size(f"f_{name}") for name in fields])
-    totals = arrays.select(length.alias("len")).agg(F.count_if(F.col("len") > 0).alias("N"), F.sum("len").alias("sum"))
+    text_mark = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("w")))
 
     def weighted(tokens: Column, weight: float) -> Column:
         return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
-    weighed = F.concat(*[weighted(F.col(f"f_{name}"), w) for name, (_, w) in fields.items()])
+    weighed = F.concat(text_mark, *[weighted(F.col(f"f_{name}"), w) for name, (_, w) in fields.items()])
     tokens = arrays.select("doc", length.alias("len"), F.inline(weighed))
-    terms = queries.select("query", "term").distinct()
-    tf = tokens.join(terms.select("term").distinct(), "term").groupBy("doc", "len", "term").agg(F.sum("w").alias("tf"))
+    store = Written(docs.sparkSession, "search")
+    terms = store.write(queries.select("query", "term").where("term is not null").distinct())
+    none = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("asked"))
+    asked = store.write(terms.select(F.col("term").alias("asked")).distinct().unionByName(none))
+    tf = tokens.join(asked, F.col("term").eqNullSafe(F.col("asked"))).groupBy("doc", "len", "term").agg(F.sum("w").alias("tf"))
+    tf = store.write(tf)
+    rows = F.col("tf").cast("long")
+    totals = tf.where("term is null and len > 0").agg(F.sum(rows).alias("N"), F.sum(F.col("len") * rows).alias("sum"))
+    tf = tf.where("term is not null")
     frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
     hits = terms.join(frequency, "term").join(tf, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.greatest(F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))

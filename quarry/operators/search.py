@@ -26,7 +26,7 @@ def tokens_of(terms: Column) -> Column:
 def two_fields(header: Column, body: Column) -> dict[str, tuple[Column, float]]:
     """Identifiers with their parts, and the text, as the lexical channel weighs them."""
     whole = F.concat_ws("\n", header, body)
-    return {"idents": (tokens_of(t.identifier_terms(whole)), IDENTS), "body": (t.index_tokens(whole), BODY)}
+    return {"idents": (t.identifier_tokens(whole), IDENTS), "body": (t.index_tokens(whole), BODY)}
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:

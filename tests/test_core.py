@@ -247,6 +247,29 @@ def test_hybrid_search_over_all_channels(spark):
     assert set(seeded["lex"]) == {3, 4}
 
 
+def test_search_cuts_texts_once(spark):
+    """A search of two fields reads each document one time; names go by the rule whatever their number."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = [(i, "h", f"parseHTTP_v{i} word common " + " ".join(f"n{k}_x" for k in range(i * 20))) for i in range(30)] + [(90, None, None)]
+    chunks = spark.createDataFrame(docs, "chunk long, header string, text string").mapInArrow(count, "chunk long, header string, text string")
+    queries = spark.createDataFrame([(1, "parseHTTP common"), (2, "n7_x")], "query long, text string")
+    found = search.lexical_channel(chunks, queries).collect()
+    assert read.value == len(docs)
+    assert {r["id"] for r in found if r["query"] == 1} == set(range(30))
+    assert {r["id"] for r in found if r["query"] == 2} == set(range(1, 30))
+    columns = text.identifier_tokens(F.col("text")).alias("t"), search.tokens_of(text.identifier_terms(F.col("text"))).alias("same")
+    both = chunks.select("chunk", *columns).collect()
+    assert all(r["t"] == r["same"] for r in both)
+    tokens = {r["chunk"]: r["t"] for r in both}
+    assert tokens[90] == [] and tokens[1][:6] == ["parsehttp", "v1", "parse", "http", "word", "common"]
+
+
 def test_embedding_progress(spark):
     rows = spark.createDataFrame([(1, "h1", "a b", 0.1, False), (2, "h1", "a b", 0.5, False), (3, "h2", "c", 0.9, False), (4, "h3", "d", 0.8, False), (5, "h4", "e", 1.0, True)], "chunk long, card_hash string, card string, priority double, embedded boolean")
     cache = spark.createDataFrame([("h3", "m", [1.0]), ("h2", "other", [1.0])], "card_hash string, model string, vector array<double>")
