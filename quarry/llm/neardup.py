@@ -262,20 +262,29 @@ class NearDuplicates:
         return pairs
 
     def _cross(self, lists: DataFrame) -> DataFrame:
+        """Distinct pairs of ``_met``."""
+        return self._met(lists).distinct()
+
+    def _met(self, lists: DataFrame) -> DataFrame:
         """Pairs of members of one list in different components, of sizes that allow similarity and,
         where the lists have ``bits``, of bits that do: each bit that one set has and the other has
-        not is an element that only one of them has."""
+        not is an element that only one of them has. Where they have ``rest``, the number of a set's
+        elements from the list's on: at the first element that two sets share, the smaller ``rest``
+        bounds what they share, so a pair is left out of the lists where that is too little; similar
+        sets always meet at their first one."""
         left, right = (lists.select("key", *[F.col(c).alias(f"{c}_{x}") for c in lists.columns if c != "key"]) for x in ("a", "b"))
         n_a, n_b = F.col("n_a"), F.col("n_b")
         allowed = (F.col("rep_a") < F.col("rep_b")) & (F.col("component_a") != F.col("component_b")) & sizes_allow(n_a, n_b, self.percent)
         if "bits" in lists.columns:
             words = [F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITS // 64)]
             allowed &= reduce(Column.__add__, words) * (100 + self.percent) <= (n_a + n_b) * (100 - self.percent)
-        return left.join(right, "key").where(allowed).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+        if "rest" in lists.columns:
+            allowed &= F.least("rest_a", "rest_b") * (100 + self.percent) >= (n_a + n_b) * self.percent
+        return left.join(right, "key").where(allowed).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
     def rarest(self, bound: DataFrame) -> DataFrame:
         """Lists of single shingles: for a set of n, its n - ceil(0.8 n) + 1 rarest among ``bound``,
-        with BITS bits of the whole set.
+        with the number of its elements from there on (``rest``) and BITS bits of the whole set.
 
         In an order that is the same for all, two sets that share that many of their elements share
         one of these.
@@ -304,8 +313,8 @@ class NearDuplicates:
         ranked = found.join(often, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("x"))
         ranked = ranked.join(bound, "rep").withColumn("single", F.col("n") - F.size("x"))
         places = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1 - F.col("single")
-        taken = ranked.where(places > 0).select("rep", "n", "component", F.explode(F.slice("x", F.lit(1), places.cast("int"))).alias("e"))
-        return taken.select(F.col("e.key").alias("key"), "rep", "n", "component").join(sets.mapInArrow(bits, "rep long, bits array<long>"), "rep")
+        taken = ranked.where(places > 0).select("rep", "n", "component", F.size("x").alias("size"), F.posexplode(F.slice("x", F.lit(1), places.cast("int"))).alias("at", "e"))
+        return taken.select(F.col("e.key").alias("key"), "rep", "n", "component", (F.col("size") - F.col("at")).alias("rest")).join(sets.mapInArrow(bits, "rep long, bits array<long>"), "rep")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -128,6 +128,27 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_crowded_sets_meet_where_they_may_be_similar(spark):
+    """Copies of one text with some words changed, similar ones and others: each similar pair meets,
+    and not once for every rare shingle that two sets share."""
+    rng = random.Random(8)
+    base, rows = [f"w{k}" for k in range(300)], []
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(300), rng.randrange(2, 24)):
+            words[k] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 2]) for k in range(299)} for i, t in rows}
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    found = neardup.NearDuplicates(frame(spark, rows), 2, 80)
+    bound = spark.createDataFrame([(i, len(s), i) for i, s in sets.items()], "rep long, n long, component long")
+    lists = found.rarest(bound).persist()
+    met = [(r["a"], r["b"]) for r in found._met(lists).collect()]
+    assert similar and similar <= set(met)
+    assert len(met) * 3 < found._met(lists.drop("rest")).count()
+    lists.unpersist()
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(200, i) for i in range(201, 230)]
