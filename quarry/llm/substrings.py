@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Words, bound_batches, fresh, mix, segment_sums, shuffle_partitions, sliced, trim_memory
+from quarry.llm.common import Words, bound_batches, fresh, mix, segment_sums, shuffle_partitions, sliced, spread, trim_memory
 
 SEED = 6
 #: Runs of SEED words that make up more than 1 / HOT of the corpus are put last; so they are fewer than
@@ -32,7 +32,10 @@ HOT, HOT_BUCKETS = 4096, 4
 LONGEST = 512
 #: Parts of a shuffle partition that are counted one after the other.
 PARTS = 4
+#: Bytes of text packed at a time: larger slices merge more equal strings, and so send less.
 SLICE = 4 << 20
+#: Bytes of text at a time where the size of a slice changes nothing of what is sent.
+SMALL_SLICE = 1 << 20
 
 
 def seeds(words: Words) -> np.ndarray:
@@ -94,9 +97,7 @@ class SuperKmers:
         size = words.ends - words.starts
         offsets = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size + 1, out=offsets[1:])
-        out = np.full(int(offsets[-1]), 32, np.uint8)
-        out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = words.data[words.inside]
-        data = out.tobytes()
+        data = spread(words.data[words.inside], size, np.arange(len(size)), int(offsets[-1])).tobytes()
         return [data[a:b] for a, b in zip(offsets[self.first].tolist(), (offsets[self.first + self.count + length - 1] - 1).tolist(), strict=True)]
 
 
@@ -303,7 +304,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         trim_memory()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, most=SLICE):
+        for batch in sliced(batches, most=SMALL_SLICE):
             words = Words(batch.column("text"))
             found = SuperKmers(words, length, hot)
             columns = [*fingerprints(found.strings(words, length)), batch.column("doc_id").to_numpy()[found.text], batch.column("row").to_numpy()[found.text], (found.first - words.first[found.text]).astype(np.int32)]
@@ -338,7 +339,7 @@ def dedupe_windows(docs: DataFrame, length: int = 50, keep_layout: bool = False)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["kept string", "n_words long", "n_removed long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, most=SLICE):
+        for batch in sliced(batches, most=SMALL_SLICE):
             words = Words(batch.column("text"))
             spans = batch.column(lost)
             keep = np.ones(len(words), bool)

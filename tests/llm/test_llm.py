@@ -84,6 +84,28 @@ def test_equal_hashes_are_told_apart(monkeypatch):
     assert sorted(substrings.shared_windows(strings, low, high, 50)) == plain and plain
 
 
+def test_packed_strings_take_little_memory():
+    """Places of bytes are not held for a whole slice; words are joined as before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["".join(f"w{rng.randrange(5000)}" + rng.choice([" ", "\n\t"]) for _ in range(70_000)) for _ in range(4)] + ["", "é x"]
+    words = Words(pa.array(texts))
+    found = substrings.SuperKmers(words, 50, np.zeros(0, np.uint64))
+    tracemalloc.start()
+    strings = found.strings(words, 50)
+    joined = words.joined()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert joined.to_pylist() == [" ".join(t.split()) for t in texts]
+    first = joined[0].as_py().split(" ")
+    assert strings[0].decode() == " ".join(first[: int(found.count[0]) + 49])
+    kept = sum(map(len, strings)) + 33 * len(strings)
+    assert most - kept < 12 * sum(map(len, texts))
+
+
 def test_line_dedup(spark):
     rows = corpus(2) + [(900, "A shared line here\nshort\n  a SHARED line here "), (901, "a shared line here\nshort\nmine alone, this one")]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
