@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import bound_batches, sliced, trim_memory
+from quarry.llm.common import WORD_SEPARATORS, bound_batches, sliced, trim_memory
 
 #: Pieces of text that the byte-level pattern splits alike alone and within their text.
 _CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -42,11 +42,12 @@ class ByteBPE:
     def __init__(self, path: str):
         import tiktoken
 
-        self.path, self._whole = path, None
+        self.path, self._whole, self.sizes = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
         added = {t["content"] for t in spec.get("added_tokens", [])}
+        self.spaced = any(set(t) & set(WORD_SEPARATORS) for t in added)
         byte = _bytes_of_symbols()
         ranks = {bytes(byte[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added}
         self.encoder = tiktoken.Encoding("byte_bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -80,6 +81,34 @@ class ByteBPE:
             return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.cache.__getitem__, _CHUNK.findall(text)))
 
+    def of_words(self, words: list[str], n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, one word's after the other's, how many each has, and which words are odd.
+
+        A word stands for itself after a space, ``n_bytes`` is its length in UTF-8, and it holds no
+        plain white space. A text of such words has their ids, unless one is odd: that text goes
+        through ``__call__``, since `tokenizers` sees it whole.
+        """
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+        text = " " + " ".join(words)
+        odd = np.zeros(len(words), bool)
+        if self.spaced:  # such a string may lie across words
+            odd[:] = True
+        elif _ODD.search(text) or self.added.search(text):
+            odd[:] = [bool(_ODD.search(w) or self.added.search(w)) for w in words]
+        plain = ~odd
+        if odd.any():
+            text = "".join(" " + w for w, o in zip(words, odd.tolist(), strict=True) if not o)
+        ids = np.array(self.encoder.encode_ordinary(text), np.uint32)
+        if self.sizes is None:
+            self.sizes = np.zeros(self.encoder.n_vocab, np.int64)
+            for piece, i in self.encoder._mergeable_ranks.items():
+                self.sizes[i] = len(piece)
+        ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(n_bytes[plain] + 1), side="right")
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = np.diff(ends, prepend=0)
+        return ids, counts, odd
+
 
 _ENCODERS: dict[str, ByteBPE] = {}
 

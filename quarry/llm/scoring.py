@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Scratch, Words, sliced, text_bytes, trim_memory
-from quarry.llm.packing import byte_bpe, forget_encoders
+from quarry.llm.common import Scratch, Words, sliced, text_bytes, text_lengths, trim_memory
+from quarry.llm.packing import ByteBPE, byte_bpe, forget_encoders
 
 #: The end of a text among its words; no word holds it.
 END = "\n"
@@ -49,28 +49,35 @@ PAIR_PRIOR, CLASS_PRIOR, WITHIN_PRIOR, ID_PRIOR = 5.0, 8.0, 4.0, 0.05
 STEPS = 2048
 SHARD_IDS, BUFFER, BATCH, RATE = 4_000_000, 4096, 64, 0.01
 FIXED_POINT = 1 << 12
+#: Rows of logits handled at a time; scores and logits that can't be larger need no maximum taken out.
+ROWS, SAFE = 512, 40.0
 #: Words whose counts every worker holds; the others' are joined.
 HEAD = 1 << 17
 SLICE = 1 << 20
 
 
-def coded(docs: DataFrame, tokenizer: str, end: int, id_type: str) -> DataFrame:
-    """``docs`` with ids, those of the lower-cased words, each after a space, and ``end``, as binary of
-    ``id_type``."""
-    own = docs.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["ids binary"])
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # sooner than to_pylist
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(tokenizer)
-        last = np.array([end], id_type).tobytes()
-        for batch in sliced(batches, most=SLICE):
-            texts = Words(batch.column("text"), lower=True).joined().to_pylist()
-            ids = [(np.frombuffer(encode(" " + t), "<u4").astype(id_type).tobytes() if t else b"") + last for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*own, "ids"])
-        del encode
-        forget_encoders()
 
-    return docs.mapInArrow(run, schema)
+def ids_of_texts(w: Words, codes: np.ndarray, words: list[str], n_bytes: np.ndarray, encode: ByteBPE, end: int, id_type: str) -> pa.Array:
+    """The ids of a slice's texts, those of their words, each after a space, and ``end``, as binary of
+    ``id_type``. ``words`` are the slice's distinct words, ``codes`` which of them each word is."""
+    ids, count, odd = encode.of_words(words, n_bytes)
+    ids, count = np.append(ids, end).astype(id_type), np.append(count, 1)
+    codes = np.insert(codes, w.first[1:], len(words))
+    length = count[codes]
+    ends = np.cumsum(length)
+    ids = ids[np.repeat((np.cumsum(count) - count)[codes] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+    bounds = np.append(0, ends[w.first[1:] + np.arange(len(w.first) - 1)]) * ids.itemsize
+    out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(w.first) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+    if odd.any():
+        whole = np.add.reduceat(np.append(odd, False)[codes], np.append(0, w.first[1:-1] + np.arange(1, len(w.first) - 1)))
+        last, texts, own = np.array([end], id_type).tobytes(), w.joined(), out.to_pylist()
+        for i in np.flatnonzero(whole).tolist():
+            own[i] = np.frombuffer(encode(" " + texts[i].as_py()), "<u4").astype(id_type).tobytes() + last
+        out = pa.array(own, pa.large_binary())
+    return out.cast(pa.binary())
 
 
 class Streams:
@@ -99,32 +106,19 @@ class Classes:
     end: int
 
 
-def _sums(docs: DataFrame, count, id_type: str, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all ids of ``docs`` of the keys that ``count`` makes of a slice's ``Streams``: the
-    keys, ascending, and how often each came. Summed by task before the shuffle."""
+def _sums(docs: DataFrame, count, size: int, id_type: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all ids of ``docs`` of the keys below ``size`` that ``count`` makes of a slice's
+    ``Streams``: the keys, ascending, and how often each came. Summed by task before the shuffle, in
+    a table of all keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        waiting: list[np.ndarray] = []
-        size = 0
-
-        def merge() -> None:
-            nonlocal keys, counts, size
-            new, n = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            keys, counts, size = both, np.bincount(back, np.concatenate([counts, n]), len(both)).astype(np.int64), 0
-
+        sums = np.zeros(size, np.int64)
         for batch in sliced(batches, "ids", SLICE):
-            found = count(Streams(batch.column("ids"), id_type, end))
-            waiting.append(found)
-            size += len(found)
-            if size > 1_500_000:
-                merge()
-        if waiting:
-            merge()
+            np.add.at(sums, count(Streams(batch.column("ids"), id_type, end)), 1)
+        keys = np.flatnonzero(sums)
         for a in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(counts[a : a + 100_000])], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(sums[keys[a : a + 100_000]])], names=["k", "n"])
+        del sums
         trim_memory()
 
     found = docs.select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
@@ -142,7 +136,7 @@ def _dense(keys: np.ndarray, counts: np.ndarray, *shape: int) -> np.ndarray:
 def learn_classes(docs: DataFrame, id_type: str, end: int, vocabulary: int) -> Classes:
     """Clusters of ids, from the counts of their neighbours: at most vocabulary * BANDS numbers for
     each of the DISTANCES reach the driver."""
-    counts = _dense(*_sums(docs, lambda s: s.ids, id_type, end), vocabulary).astype(np.float64)
+    counts = _dense(*_sums(docs, lambda s: s.ids, vocabulary, id_type, end), vocabulary).astype(np.float64)
     order = np.argsort(-counts, kind="stable")
     band = np.full(vocabulary, BANDS - 1)
     band[order[: BANDS - 1]] = np.arange(BANDS - 1)
@@ -156,7 +150,7 @@ def learn_classes(docs: DataFrame, id_type: str, end: int, vocabulary: int) -> C
             out.append(((i * vocabulary) + s.ids[a][same]) * BANDS + band[s.ids[b][same]])
         return np.concatenate(out)
 
-    found = _dense(*_sums(docs, around, id_type, end), len(DISTANCES), vocabulary, BANDS)
+    found = _dense(*_sums(docs, around, len(DISTANCES) * vocabulary * BANDS, id_type, end), len(DISTANCES), vocabulary, BANDS)
     features = []
     for k in found:
         share = k.sum(0) / max(k.sum(), 1)
@@ -222,7 +216,7 @@ def learn_tables(docs: DataFrame, classes: Classes) -> Tables:
         one = fine[s.one]
         return np.concatenate([(fine[s.two] * FINE + one) * COARSE + coarse[s.ids], FINE * FINE * COARSE + one * vocabulary + s.ids])
 
-    keys, counts = _sums(docs, both, classes.id_type, classes.end)
+    keys, counts = _sums(docs, both, FINE * (FINE * COARSE + vocabulary), classes.id_type, classes.end)
     cut = int(np.searchsorted(keys, FINE * FINE * COARSE))
     return Tables.of(classes, _dense(keys[:cut], counts[:cut], FINE, FINE, COARSE), _dense(keys[cut:] - FINE * FINE * COARSE, counts[cut:], FINE, vocabulary))
 
@@ -239,6 +233,8 @@ def start_weights() -> dict[str, np.ndarray]:
 _DISTANCE = np.arange(SPAN)[:, None] - np.arange(SPAN)[None]
 _AHEAD = _DISTANCE < 0
 _BEHIND = np.maximum(_DISTANCE, 0)
+#: Places of the sums by class of what comes back for queries, keys and values.
+_CELLS = np.arange(FINE * 3 * WIDTH).reshape(FINE, 3 * WIDTH)
 
 
 def windows_of(streams: Streams) -> np.ndarray:
@@ -257,56 +253,70 @@ def windows_of(streams: Streams) -> np.ndarray:
 def gradients(weights: dict[str, np.ndarray], windows: np.ndarray, classes: Classes, prior: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """The mean of -ln P(coarse class | context) over the ids of some windows, and its gradient.
 
-    What goes in depends on a fine class, so the scores of all pairs of classes are one table, and a
-    window's scores are read from it.
+    Queries, keys and values depend on a fine class, not on a place, so they are rows of small tables.
+    The softmax is divided by its sum after it met the values, which have a column of ones for it.
+    Rows of logits go by ROWS, which stay near the processor.
     """
     w, scale = weights, np.float32(1 / math.sqrt(WIDTH))
     rows = np.where(windows < 0, classes.end, windows)
     inside = (windows[:, 2:] >= 0).reshape(-1)
-    fine = classes.fine[rows[:, :-1]]
-    now, target = fine[:, 1:], classes.coarse[rows[:, 2:]].reshape(-1)
+    fine = classes.fine.take(rows[:, :-1])
+    now, target = fine[:, 1:].reshape(-1), classes.coarse.take(rows[:, 2:]).reshape(-1)
+    context = (fine[:, :-1] * FINE + fine[:, 1:]).reshape(-1)
     n = now.size
-    q_of, k_of, v_of = w["embed"] @ w["query"], w["embed"] @ w["key"], w["embed"] @ w["value"]
-    pair = now[:, :, None] * FINE + now[:, None, :]
-    att = (q_of @ k_of.T * scale).reshape(-1)[pair]
+    q_of, k_of, v_of = w["embed"] @ w["query"] * scale, w["embed"] @ w["key"], w["embed"] @ w["value"]
+    kind = v_of.dtype
+    places = (-1, SPAN, WIDTH)
+    q, k = q_of.take(now, 0).reshape(places), k_of.take(now, 0).reshape(places)
+    v = np.concatenate([v_of, np.ones((FINE, 1), kind)], 1).take(now, 0).reshape(-1, SPAN, WIDTH + 1)
+    att = q @ k.transpose(0, 2, 1)
     att += np.where(_AHEAD, np.float32(-1e9), w["near"][_BEHIND])
-    att -= att.max(-1, keepdims=True)
+    if _length(q_of) * _length(k_of) + np.abs(w["near"]).max() > SAFE:
+        att -= att.max(-1, keepdims=True)
     np.exp(att, out=att)
-    att /= att.sum(-1, keepdims=True)
-    v = v_of[now]
-    o = (att @ v).reshape(n, WIDTH)
-    z = o @ w["out"]
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z *= prior[(fine[:, :-1] * FINE + now).reshape(-1)]
-    z /= z.sum(-1, keepdims=True)
-    chosen = np.arange(n), target
+    o = (att @ v).reshape(n, WIDTH + 1)
+    share = 1 / o[:, WIDTH:]
+    o *= share
+    large = np.abs(v_of @ w["out"]).max() > SAFE
     used = max(int(inside.sum()), 1)
-    loss = -float(np.log(z[chosen][inside]).sum()) / used
-    z[chosen] -= 1
-    z[~inside] = 0  # places behind a text's end teach nothing
-    z /= used
-    grad = {"out": o.T @ z}
-    do = (z @ w["out"].T).reshape(v.shape)
+    one = (inside / used).astype(kind)  # places behind a text's end teach nothing
+    back, ones = np.ascontiguousarray(w["out"].T), np.ones(COARSE, kind)
+    chosen, do, d_out = np.empty(n, kind), np.empty((n, WIDTH + 1), kind), np.zeros((WIDTH, COARSE), kind)
+    z_room, prior_room = np.empty((ROWS, COARSE), kind), np.empty((ROWS, COARSE), prior.dtype)
+    for a in range(0, n, ROWS):
+        b = min(a + ROWS, n)
+        z = np.matmul(o[a:b, :WIDTH], w["out"], out=z_room[: b - a])
+        if large:
+            z -= z.max(-1, keepdims=True)
+        np.exp(z, out=z)
+        z *= prior.take(context[a:b], 0, out=prior_room[: b - a], mode="clip")
+        at = np.arange(b - a) * COARSE + target[a:b]
+        total = z @ ones
+        chosen[a:b] = z.take(at) / total
+        z *= (one[a:b] / total)[:, None]
+        z.reshape(-1)[at] -= one[a:b]
+        d_out += o[a:b, :WIDTH].T @ z
+        do[a:b, :WIDTH] = z @ back
+    loss = -float(np.log(chosen[inside]).sum()) / used
+    grad = {"out": d_out}
+    do[:, WIDTH] = -np.einsum("ij,ij->i", do[:, :WIDTH], o[:, :WIDTH])
+    do *= share
+    do = do.reshape(v.shape)
+    dv = att.transpose(0, 2, 1) @ do[..., :WIDTH]
     datt = do @ v.transpose(0, 2, 1)
-    datt -= np.einsum("bij,bij->bi", datt, att)[:, :, None]
     datt *= att
-    flat = now.reshape(-1)
-    dv = _by_class(flat, (att.transpose(0, 2, 1) @ do).reshape(n, WIDTH))
     grad["near"] = np.bincount(_BEHIND[~_AHEAD], datt.sum(0)[~_AHEAD], SPAN).astype(np.float32)
-    dpair = np.bincount(pair.reshape(-1), datt.reshape(-1), FINE * FINE).reshape(FINE, FINE).astype(np.float32) * scale
-    dq, dk = dpair @ k_of, dpair.T @ q_of
+    by_place = np.concatenate([datt @ k, datt.transpose(0, 2, 1) @ q, dv], 2)
+    by_class = np.bincount(_CELLS.take(now, 0).reshape(-1), by_place.reshape(-1), _CELLS.size).reshape(_CELLS.shape).astype(np.float32)
+    dq, dk, dv = by_class[:, :WIDTH] * scale, by_class[:, WIDTH : 2 * WIDTH], by_class[:, 2 * WIDTH :]
     grad |= {name: w["embed"].T @ d for name, d in (("query", dq), ("key", dk), ("value", dv))}
     grad["embed"] = dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
     return loss, grad
 
 
-def _by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows by class."""
-    out = np.empty((FINE, rows.shape[1]), np.float32)
-    for j in range(rows.shape[1]):
-        out[:, j] = np.bincount(classes, rows[:, j], FINE)
-    return out
+def _length(rows: np.ndarray) -> float:
+    """The largest norm of a row."""
+    return math.sqrt(float(np.einsum("ij,ij->i", rows, rows).max()))
 
 
 class Training:
@@ -315,9 +325,11 @@ class Training:
 
     def __init__(self, classes: Classes, prior: np.ndarray):
         self.classes, self.prior = classes, prior
-        self.weights = start_weights()
-        self.first = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        self.second = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        start = start_weights()
+        self.flat = np.concatenate([v.reshape(-1) for v in start.values()])
+        cuts = np.cumsum([v.size for v in start.values()])[:-1]
+        self.weights = {k: part.reshape(v.shape) for (k, v), part in zip(start.items(), np.split(self.flat, cuts))}  # views
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.rng, self.step, self.windows = np.random.default_rng(11), 0, 0
         self.waiting: list[np.ndarray] = []
         self.n_waiting = 0
@@ -341,11 +353,10 @@ class Training:
         for a in range(0, len(order), BATCH):
             _, grad = gradients(self.weights, windows[order[a : a + BATCH]], self.classes, self.prior)
             self.step += 1
-            for name, g in grad.items():
-                first, second = self.first[name], self.second[name]
-                first += 0.1 * (g - first)
-                second += 0.01 * (g * g - second)
-                self.weights[name] = (self.weights[name] - RATE * (first / (1 - 0.9**self.step)) / (np.sqrt(second / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+            g = np.concatenate([grad[k].reshape(-1) for k in self.weights])
+            self.first += 0.1 * (g - self.first)
+            self.second += 0.01 * (g * g - self.second)
+            self.flat -= RATE * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.99**self.step)) + 1e-8)
 
 
 def learn_attention(docs: DataFrame, classes: Classes, tables: Tables) -> dict[str, np.ndarray]:
@@ -393,7 +404,7 @@ def learn_attention(docs: DataFrame, classes: Classes, tables: Tables) -> dict[s
     return weights
 
 
-def log_probabilities(streams: Streams, weights: dict[str, np.ndarray], tables: Tables, classes: Classes, blocks_at_once: int = 256) -> np.ndarray:
+def log_probabilities(streams: Streams, weights: dict[str, np.ndarray], tables: Tables, classes: Classes, blocks_at_once: int = 32) -> np.ndarray:
     """log10 P(id | the ids before) of each id of the streams."""
     n_blocks = -(-streams.length // BLOCK)
     total = int(n_blocks.sum())
@@ -417,24 +428,30 @@ def log_probabilities(streams: Streams, weights: dict[str, np.ndarray], tables:
     pair = (weights["embed"] @ weights["query"]) @ (weights["embed"] @ weights["key"]).T / math.sqrt(WIDTH)
     pair = np.exp(np.maximum(pair - pair.max(1, keepdims=True), -60)).astype(np.float32)
     v_of = weights["embed"] @ weights["value"]
+    large = np.abs(v_of @ weights["out"]).max() > SAFE
+    v_of = np.concatenate([v_of, np.ones((FINE, 1), v_of.dtype)], 1)  # the last column sums the attention
     out = np.zeros(total * BLOCK, np.float32)
+    att_room = np.empty((blocks_at_once, BLOCK, SPAN), pair.dtype)
+    prior_room = np.empty((blocks_at_once * BLOCK, COARSE), tables.prior.dtype)
     for a in range(0, total, blocks_at_once):
         b = min(a + blocks_at_once, total)
         here = slice(a * BLOCK, b * BLOCK)
         own = now[here].reshape(-1, BLOCK)
         prior = now[max(a - 1, 0) * BLOCK : (b - 1) * BLOCK].reshape(-1, BLOCK) if a else np.concatenate([own[:1], own[:-1]])
         keys = np.concatenate([prior, own], 1)
-        att = pair.reshape(-1)[own[:, :, None] * FINE + keys[:, None, :]]
+        att = pair.take(own[:, :, None] * FINE + keys[:, None, :], out=att_room[: b - a], mode="clip")
         att *= near
         att[opening[a:b], :, :BLOCK] = 0
-        o = att @ v_of[keys]
-        o /= att.sum(2, keepdims=True)
-        z = o.reshape(-1, WIDTH) @ weights["out"]
-        z -= z.max(1, keepdims=True)
+        o = (att @ v_of.take(keys, 0)).reshape(-1, WIDTH + 1)
+        o /= o[:, WIDTH:].copy()
+        z = o[:, :WIDTH] @ weights["out"]
+        if large:
+            z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
-        z *= tables.prior[context[here]]
-        out[here] = np.log10(z[np.arange(len(z)), target[here]]) - np.log10(z.sum(1))
-    return out[place] + tables.within[one_class, streams.ids] / np.float32(STEPS)
+        p = tables.prior.take(context[here], 0, out=prior_room[: len(z)], mode="clip")
+        at = np.arange(len(z)) * COARSE + target[here]
+        out[here] = np.log10(z.take(at) * p.take(at) / np.einsum("ij,ij->i", z, p))
+    return out[place] + tables.within.take(one_class * tables.within.shape[1] + streams.ids) / np.float32(STEPS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -450,7 +467,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in sliced(batches, most=4 << 20):
             found = Words(batch.column("text"), lower=True).array().value_counts()
-            for word, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
+            for word, n in zip(_strings(found.field("values")), found.field("counts").to_numpy().tolist(), strict=True):
                 counts[word] = counts.get(word, 0) + n
             counts[END] = counts.get(END, 0) + batch.num_rows
             if len(counts) > 300_000:
@@ -462,6 +479,41 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def coded(docs: DataFrame, tokenizer: str, end: int, id_type: str, head: pa.Table, n_train: int, room: float) -> DataFrame:
+    """Each text's ids, and its base score as far as the words of ``head`` make it: a row number, doc_id,
+    training, n_tokens, known, sums, the ids, and the other words, ``tail``. Words are split once."""
+    shared = docs.sparkSession.sparkContext.broadcast((head.column("word").to_pylist(), head.column("c").to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, cs = shared.value
+        position = {w: i for i, w in enumerate(words)}
+        log_of = np.log10((np.append(np.array(cs, np.int64), 0) + 0.5) / room)
+        at_end, number = position.get(END, -1), TaskContext.get().partitionId() << 33
+        encode = byte_bpe(tokenizer)
+        for batch in sliced(batches, most=4 << 20):
+            n_texts = batch.num_rows
+            w = Words(batch.column("text"), lower=True)
+            found = w.array().dictionary_encode()
+            codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            own = _strings(found.dictionary)
+            ids = ids_of_texts(w, codes, own, text_lengths(found.dictionary), encode, end, id_type)
+            at = np.array([position.get(x, -1) for x in own], np.int64)[codes]
+            text = np.repeat(np.arange(n_texts), np.diff(w.first))
+            in_head = at >= 0
+            sums = np.bincount(text, np.where(in_head, log_of[at], 0.0), n_texts) + log_of[at_end]
+            known = np.bincount(text, in_head, n_texts).astype(np.int64) + (n_train > 0)
+            rare = np.flatnonzero(~in_head)
+            offsets = np.searchsorted(text[rare], np.arange(n_texts + 1)).astype(np.int32)
+            tail = pa.ListArray.from_arrays(pa.array(offsets), pc.cast(found.dictionary.take(pa.array(codes[rare])), pa.string()))
+            columns = [pa.array(np.arange(n_texts) + number), batch.column("doc_id").cast(pa.int64()), batch.column("training"), pa.array(np.diff(w.first) + 1), pa.array(known), pa.array(sums), ids, tail]
+            number += n_texts
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "training", "n_tokens", "known", "sums", "ids", "tail"])
+        del encode
+        forget_encoders()
+
+    return docs.mapInArrow(run, "row long, doc_id long, training boolean, n_tokens long, known long, sums double, ids binary, tail array<string>")
+
+
 def score(docs: DataFrame, is_training: Column, tokenizer: str, end: int = 50256, vocabulary: int = 50257) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
@@ -471,6 +523,7 @@ def score(docs: DataFrame, is_training: Column, tokenizer: str, end: int = 50256
     rows are scored each. Other columns are left out. With no training rows all counts are 0 and the
     model is untrained. An empty table gives no rows.
 
+    ``docs`` is read twice, to count words and to code the texts, and has to give the same rows.
     Counts of the HEAD most frequent words go to every worker; a text's other words are joined to
     the table of counts by word, which only moves words that are rare in training.
     """
@@ -478,48 +531,34 @@ def score(docs: DataFrame, is_training: Column, tokenizer: str, end: int = 50256
     scratch = Scratch(spark, "scoring")
     id_type = "<u2" if vocabulary <= 1 << 16 else "<u4"
     docs = docs.select("doc_id", "text", F.coalesce(is_training, F.lit(False)).alias("training"))
-    docs = scratch.write(coded(docs, tokenizer, end, id_type), "coded")
-    training = docs.where("training").select("doc_id", "text", "ids")
-    counts = scratch.write(word_counts(training), "counts")
+    counts = scratch.write(word_counts(docs.where("training")), "counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_train, room = totals["n"], totals["n"] + 0.5 * (totals["v"] + 1)
     head = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    texts = scratch.write(coded(docs, tokenizer, end, id_type, head, n_train, room), "coded")
+    rare = texts.select("row", F.explode("tail").alias("word")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    rare = rare.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / F.lit(float(room)))).alias("rare"), F.sum((F.col("c") > 0).cast("long")).alias("more"))
+    rare = scratch.write(rare, "rare")
+    scratch.drop("counts")
+    training = texts.where("training").select("doc_id", "ids")
     classes = learn_classes(training, id_type, end, vocabulary)
     tables = learn_tables(training, classes)
     weights = learn_attention(training, classes, tables)
-    shared = spark.sparkContext.broadcast((classes, weights, tables, head.column("word").to_pylist(), head.column("c").to_pylist()))
+    shared = spark.sparkContext.broadcast((classes, weights, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, weights, tables, words, cs = shared.value
-        position = {w: i for i, w in enumerate(words)}
-        log_of = np.log10((np.append(np.array(cs, np.int64), 0) + 0.5) / room)
-        at_end, number = position.get(END, -1), TaskContext.get().partitionId() << 33
-        for batch in sliced(batches, most=SLICE):
+        classes, weights, tables = shared.value
+        for batch in sliced(batches, "ids", SLICE):
             s = Streams(batch.column("ids"), classes.id_type, classes.end)
-            n_texts = batch.num_rows
             logs = log_probabilities(s, weights, tables, classes).astype(np.float64)
-            scores = np.add.reduceat(logs, s.start) if len(logs) else logs
-            w = Words(batch.column("text"), lower=True)
-            found = w.array().dictionary_encode()
-            codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.array([position.get(x, -1) for x in found.dictionary.to_pylist()], np.int64)[codes] if len(codes) else codes
-            text = np.repeat(np.arange(n_texts), np.diff(w.first))
-            in_head = at >= 0
-            sums = np.bincount(text, np.where(in_head, log_of[at], 0.0), n_texts) + log_of[at_end]
-            known = np.bincount(text, in_head, n_texts).astype(np.int64) + (n_train > 0)
-            rare = np.flatnonzero(~in_head)
-            offsets = np.searchsorted(text[rare], np.arange(n_texts + 1)).astype(np.int32)
-            tail = pa.ListArray.from_arrays(pa.array(offsets), pc.cast(found.dictionary.take(pa.array(codes[rare])), pa.string()))
-            columns = [pa.array(np.arange(n_texts) + number), batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(w.first) + 1), pa.array(known), pa.array(sums), pa.array(scores), tail]
-            number += n_texts
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "known", "sums", "score", "tail"])
+            columns = [*batch.columns[:-1], pa.array(np.add.reduceat(logs, s.start))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score"])
         trim_memory()
 
-    scored = scratch.write(docs.select("doc_id", "text", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, sums double, score double, tail array<string>"), "scored")
+    scored = texts.select("row", "doc_id", "n_tokens", "known", "sums", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, sums double, score double")
+    scored = scratch.write(scored, "scored")
     scratch.drop("coded")
-    rare = scored.select("row", F.explode("tail").alias("word")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rare = rare.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / F.lit(float(room)))).alias("rare"), F.sum((F.col("c") > 0).cast("long")).alias("more"))
-    out = scored.drop("tail").join(rare, "row", "left")
+    out = scored.join(rare, "row", "left")
     return out.select(
         "doc_id", "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),

@@ -429,6 +429,38 @@ def test_attention_gradients():
             assert abs((losses[0] - losses[1]) / 2e-4 - grad[name][at]) < 2e-5
 
 
+def test_large_scores_and_logits_do_not_overflow():
+    rng, classes, tables, weights = toy_model()
+    most = lambda x: np.float32(np.abs(x).max())
+    e = weights["embed"]
+    large = weights | {"query": weights["query"] * (240 / most((e @ weights["query"]) @ (e @ weights["key"]).T)), "out": weights["out"] * (44 / most(e @ weights["value"] @ weights["out"]))}
+    s = streams_of(rng, 400, [1, 17, 40])
+    got = scoring.log_probabilities(s, large, tables, classes)
+    for a, n in zip(s.start, s.length):
+        ids = s.ids[a : a + n].tolist()
+        for t in range(n):
+            assert abs(plain_log10(large, tables, classes, ids[:t], ids[t], max(0, (t // scoring.BLOCK - 1) * scoring.BLOCK)) - got[a + t]) < 5e-3 * max(1, abs(got[a + t]))
+    huge = {k: x * np.float32(1 if k == "near" else 40) for k, x in weights.items()}
+    loss, grad = scoring.gradients(huge, scoring.windows_of(s), classes, np.maximum(tables.prior, np.float32(1e-6)))
+    assert not np.isnan(loss) and all(np.isfinite(g).all() for g in grad.values())
+
+
+def test_ids_of_distinct_words_are_those_of_whole_texts():
+    import pyarrow as pa
+
+    encode, last = packing.byte_bpe(BPE), np.array([50256], "<u2").tobytes()
+    texts = ["a B", None, "", "<|endoftext|> x y", "a<|endoftext|>b c", "q\xa0r s it's 12ab", "\xa0", "  x  ", "<| endoftext|>", "\u00e9\u65e5\u672c ab", "\x85 z", "y" * 5000, "\u3000", "a\x1cb", "A B'S a b"]
+    rng = np.random.default_rng(5)
+    for k in range(30):
+        some = texts if k == 0 else [texts[i] for i in rng.integers(0, len(texts), 1 + k % 5)]
+        w = scoring.Words(pa.array(some, pa.string()), lower=True)
+        found = w.array().dictionary_encode()
+        codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words = found.dictionary.to_pylist()
+        got = scoring.ids_of_texts(w, codes, words, np.array([len(x.encode()) for x in words], np.int64), encode, 50256, "<u2").to_pylist()
+        assert got == [(np.frombuffer(encode(" " + t), "<u4").astype("<u2").tobytes() if t else b"") + last for t in w.joined().to_pylist()]
+
+
 def test_windows_cover_whole_texts_in_any_portions():
     rng, classes, tables, _ = toy_model()
     s = streams_of(rng, 400, [1, 31, 32, 33, 500])
